@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat_format, packing, quality_rules, token_counts, url_filter
+from . import chat_format, packing, quality_classifier, quality_rules, token_counts, toxicity, url_filter
 
 QUERIES = {
+    "op1_quality_classifier": quality_classifier.op1_quality_classifier,
     "op2_token_counts": token_counts.op2_token_counts,
     "op4_chat_format": chat_format.op4_chat_format,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op8_packing": packing.op8_packing,
     "op9_url_filter": url_filter.op9_url_filter,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL = {
