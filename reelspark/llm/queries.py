@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format, packing, quality_classifier, quality_rules, token_counts, toxicity, url_filter
+from . import chat_format, decontamination, packing, quality_classifier, quality_rules, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.op1_quality_classifier,
     "op2_token_counts": token_counts.op2_token_counts,
+    "op3_decontamination": decontamination.op3_decontamination,
     "op4_chat_format": chat_format.op4_chat_format,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op8_packing": packing.op8_packing,
