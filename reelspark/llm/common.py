@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: The characters that separate words: space, tab, newline, vertical tab, form feed, carriage return.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
@@ -40,7 +41,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def by_batch(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, limit: int = 8 << 20) -> DataFrame:
+def by_batch(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, limit: int = 8 << 20) -> DataFrame:
     """Applies ``make`` to Arrow batches that are cut so that strings and binaries of one call stay near ``limit`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -195,15 +196,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8
     than ``min_words`` words say nothing and are left out, as are null items; null and empty texts match nothing; null
     ids and repeated rows stay; empty tables give no rows. The benchmark is the small side: it goes to the tasks in
     blocks of ``ITEMS`` items, and each document is searched where it lies, so nothing is shuffled."""
-    spark = docs.sparkSession
-    n = benchmark.count()
-    blocks = max(1, -(-n // ITEMS))
     out = None
-    for block in range(blocks):
-        part = benchmark if blocks == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        items = [(r["item_id"], words_of(r["text"])) for r in part.select("item_id", "text").collect()]
-        items = sorted((i, w) for i, w in items if len(w) >= min_words and i is not None)
-        sent = spark.sparkContext.broadcast(WindowIndex(items, similarity, repeats, sampled))
+    for sent in indexes(docs.sparkSession, benchmark, similarity, min_words, repeats, sampled):
 
         def run(batch: pa.RecordBatch, sent=sent) -> pa.RecordBatch | None:
             index = sent.value
@@ -219,5 +213,31 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8
     return out
 
 
+def indexes(spark: SparkSession, benchmark: DataFrame, similarity: float, min_words: int, repeats: int, sampled: int) -> list[Broadcast]:
+    """The benchmark as broadcast indexes of about ITEMS items each."""
+    blocks = max(1, -(-benchmark.count() // ITEMS))
+    out = []
+    for block in range(blocks):
+        part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        items = [(r["item_id"], words_of(r["text"])) for r in part.select("item_id", "text").collect()]
+        items = sorted((i, w) for i, w in items if len(w) >= min_words and i is not None)
+        out.append(spark.sparkContext.broadcast(WindowIndex(items, similarity, repeats, sampled)))
+    return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, min_words: int = 5, repeats: int = 24, sampled: int = 3) -> DataFrame:
+    """The rows of ``docs``, all columns, in which ``decontaminate`` finds no item."""
+    at = docs.columns.index("text")
+    for sent in indexes(docs.sparkSession, benchmark, similarity, min_words, repeats, sampled):
+
+        def run(batch: pa.RecordBatch, sent=sent) -> pa.RecordBatch:
+            index = sent.value
+            bad = {m[0] for m in index.matches(batch.column(at).to_pylist())} if index.items else set()
+            return batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_()))
+
+        docs = by_batch(docs, run, docs.schema)
+    return docs
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -117,11 +117,11 @@ def common_tokens(docs: DataFrame) -> np.ndarray:
 
 
 def sent_tokens(docs: DataFrame, common: np.ndarray, spread: int) -> DataFrame:
-    """Two kinds of rows from one pass: for each document doc_id, cls, n, levels and common tokens of its prefix; for each
+    """Two kinds of rows from one pass: for each document doc_id, digest, cls, n, levels and common tokens of its prefix; for each
     range of tokens and FLUSH bytes of text: range, tokens (sorted), owners (classes, by token)."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
-    schema = "doc_id long, cls long, n long, levels array<int>, common binary, range long, tokens binary, owners binary"
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.int64(), pa.binary(), pa.binary())
+    schema = "doc_id long, digest long, cls long, n long, levels array<int>, common binary, range long, tokens binary, owners binary"
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.int64(), pa.binary(), pa.binary())
     names = [x.split()[0] for x in schema.split(", ")]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,16 +137,16 @@ def sent_tokens(docs: DataFrame, common: np.ndarray, spread: int) -> DataFrame:
             tokens, owners = tokens[by], owners[by]
             ranges = ((tokens >> np.uint64(33)).astype(np.int64) * spread) >> 31
             cuts = np.flatnonzero(np.r_[True, ranges[1:] != ranges[:-1]]).tolist() if len(tokens) else []
-            rows = [(None,) * 5 + (int(ranges[a]), tokens[a:b].tobytes(), owners[a:b].tobytes()) for a, b in zip(cuts, [*cuts[1:], len(tokens)])]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, types)], names)
+            rows = [(None,) * 6 + (int(ranges[a]), tokens[a:b].tobytes(), owners[a:b].tobytes()) for a, b in zip(cuts, [*cuts[1:], len(tokens)])]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 9, types)], names)
 
         for batch in pieces(batches, 2 << 20):
             rows = []
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc_id, text, digest in zip(*(c.to_pylist() for c in batch.columns)):
                 tokens = shingles(text, hashes)
                 cls = class_of(tokens)
                 out, rest, levels = reach(tokens, often) if len(tokens) else (tokens, tokens, [0, 0, 0])
-                rows.append((doc_id, cls, len(tokens), levels, rest.tobytes(), None, None, None))
+                rows.append((doc_id, digest, cls, len(tokens), levels, rest.tobytes(), None, None, None))
                 if len(out) and cls not in held:
                     held[cls] = out
                     size += len(text)
@@ -158,7 +158,7 @@ def sent_tokens(docs: DataFrame, common: np.ndarray, spread: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(go, schema)
+    return docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest")).mapInArrow(go, schema)
 
 
 def shared_tokens(sent: DataFrame) -> DataFrame:
@@ -169,8 +169,6 @@ def shared_tokens(sent: DataFrame) -> DataFrame:
         owners = np.concatenate([np.frombuffer(x, np.int64) for x in rows.column("owners").to_pylist()])
         by = np.argsort(tokens)
         tokens, owners = tokens[by], owners[by]
-        twice = np.r_[tokens[1:] == tokens[:-1], False]
-        twice[1:] |= twice[:-1].copy() & (tokens[1:] == tokens[:-1])
         twice = np.r_[False, tokens[1:] == tokens[:-1]] | np.r_[tokens[1:] == tokens[:-1], False]
         tokens, owners = tokens[twice], owners[twice]
         by = np.lexsort((owners, tokens))
@@ -367,16 +365,17 @@ def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, class_id.
+    """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, class_id, digest.
 
     Two documents link where 100 * intersection >= 80 * union of their sets of five-word shingles; a text of fewer words is
     one shingle; null and empty texts and texts without words have no set and link with nothing. component_id is the
-    smallest doc_id that links reach, itself included; class_id names the set (equal sets, equal ids). Ids that are
+    smallest doc_id that links reach, itself included; class_id names the set (equal sets, equal ids), digest
+    is Spark's xxhash64 of the text. Ids that are
     null count as larger than all others and stay null where nothing else is reached; repeated rows link with each other;
     an empty table gives no rows. Shingles and sets are told apart by 64-bit hashes."""
-    spread = max(4, docs.rdd.getNumPartitions())
+    spread = max(4, docs.select("text").rdd.getNumPartitions())
     sent = stored(sent_tokens(docs, common_tokens(docs), spread), "tokens")
-    rows = sent.where("range is null").select("doc_id", "cls", "n", "levels", "common")
+    rows = sent.where("range is null").select("doc_id", "digest", "cls", "n", "levels", "common")
     classes = stored(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("levels").alias("levels"), F.first("common").alias("common")), "classes")
     tokens = stored(prefix_tokens(classes, shared_tokens(sent)), "prefixes")
     # each token's classes are joined to its smallest class: as many edges as there are rows
@@ -404,7 +403,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     least = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     ids = ids.join(least, "root").select(F.col("node").alias("cls"), "component_id")
     return rows.join(ids, "cls", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("cls").alias("class_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("cls").alias("class_id"), "digest"
     )
 
 
@@ -433,7 +432,7 @@ def across_blocks(docs: DataFrame, members: DataFrame, found: DataFrame) -> Data
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents")).drop("class_id")
+    return jaccard_join(table(spark, sf_dir, "documents")).drop("class_id", "digest")
 
 
 SQL = r"""
@@ -450,3 +449,17 @@ comp AS (SELECT r.c, min(k.doc_id) AS component_id FROM reach r JOIN classes k O
 SELECT x.doc_id, len(x.s)::BIGINT AS n_shingles, CASE WHEN len(x.s) = 0 THEN x.doc_id ELSE m.component_id END AS component_id
 FROM sets x LEFT JOIN classes k ON k.s = list_sort(x.s) AND len(x.s) > 0 LEFT JOIN comp m ON m.c = k.c
 """
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay when one document of each linked group does: the one with the smallest
+    doc_id, of several rows with it the one with the smallest text hash. Documents without words are linked with nothing
+    and stay."""
+    found = jaccard_join(docs)
+    linked = found.where("n_shingles > 0 and component_id is not null").groupBy(F.col("component_id").alias("id")).agg(F.min(F.when(F.col("doc_id") == F.col("component_id"), F.col("digest"))).alias("hash"))
+    apart = found.where("n_shingles = 0 or component_id is null").select(F.col("doc_id").alias("id"), F.col("digest").alias("hash"), F.lit(True).alias("repeats"))
+    stay = linked.withColumn("repeats", F.lit(False)).unionByName(apart).distinct()
+    rows = docs.withColumn("digest", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = rows.join(stay, rows.doc_id.eqNullSafe(stay.id) & (rows.digest == stay.hash))
+    once = rows.where(~F.col("repeats")).dropDuplicates(["doc_id", "digest"])
+    return once.unionByName(rows.where("repeats")).select(docs.columns)

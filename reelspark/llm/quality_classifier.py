@@ -119,7 +119,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int)
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text, source, lang): doc_id, doc_score, host_rate, path_rate, score, keep.
+    """One row for each row of ``docs`` (doc_id, text, source, lang): doc_id, digest (xxhash64 of the text), doc_score,
+    host_rate, path_rate, score, keep.
 
     A logistic model of the text is fitted on the driver on at most ``sample`` labelled rows. Its probabilities over all
     documents, labels where there are any, are the outcomes from which host and path posteriors are shrunk towards the
@@ -127,23 +128,25 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, label: str = "quality
     keep: score >= threshold. Null and empty texts have no evidence but the features of an empty text, sites of null
     sources count as one host '', rows with null or repeated ids are judged one by one, empty tables give no rows, and
     without labels all scores are near 1/2."""
-    spark = docs.sparkSession
-    rows = by_batch(labelled_sample(docs, labels, label, sample).select("text", "y"), _sample_features, "x array<double>, y int").toPandas()
-    x = np.array(rows["x"].tolist(), float).reshape(-1, len(FEATURES))
-    order = np.lexsort([rows["y"].to_numpy(), *x.T])  # rows come in any order; the sums of the fit shall not
-    model = fit(x[order], rows["y"].to_numpy(float)[order])
+    fitted = by_batch(labelled_sample(docs, labels, label, sample).select("text", "y"), _sample_features, "x array<double>, y int").toPandas()
+    x = np.array(fitted["x"].tolist(), float).reshape(-1, len(FEATURES))
+    order = np.lexsort([fitted["y"].to_numpy(), *x.T])  # rows come in any order; the sums of the fit shall not
+    model = fit(x[order], fitted["y"].to_numpy(float)[order])
     host, path = site(F.col("source"), F.col("lang"))
 
+    rows = docs.select("text", "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"), host.alias("host"), path.alias("path"))
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(evidence(batch.column(0).to_pylist(), model))], ["doc_id", "host", "path", "log_odds"])
+        return pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(evidence(batch.column(0).to_pylist(), model))], ["doc_id", "digest", "host", "path", "log_odds"])
 
-    scored = stored(by_batch(docs.select("text", "doc_id", host.alias("host"), path.alias("path")), run, "doc_id long, host string, path string, log_odds double"), "quality")
+    scored = stored(by_batch(rows, run, "doc_id long, digest long, host string, path string, log_odds double"), "quality")
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).cast("double").alias("y"))
     p = 1 / (1 + F.exp(-F.col("log_odds")))
     outcomes = scored.join(known, "doc_id", "left").select("host", "path", F.coalesce("y", p).alias("good"))
     # one row a site; Spark broadcasts it where its measured size is small and splits hot hosts where not
     return scored.join(site_posteriors(outcomes), ["host", "path"], "left").select(
         "doc_id",
+        "digest",
         p.alias("doc_score"),
         "host_rate",
         "path_rate",
@@ -156,4 +159,11 @@ def _sample_features(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("digest")
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that the classifier keeps."""
+    stay = quality_classifier(docs, labels).where("keep").select(F.col("doc_id").alias("id"), F.col("digest").alias("hash")).distinct()
+    rows = docs.withColumn("digest", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return rows.join(stay, rows.doc_id.eqNullSafe(stay.id) & (rows.digest == stay.hash), "left_semi").select(docs.columns)
