@@ -262,6 +262,8 @@ def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
     full = seen.where("copies > 1").select("anchor", "run", F.array(F.struct(F.lit(0).alias("at"), F.col("n").alias("n"))).alias("ranges"))
     # a run that repeats as a whole needs no part of it
     every = ranges_.unionByName(full).groupBy("anchor", "run").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    # stored, so that the join below starts from plain exchanges and a run with very many copies can be split
+    every = stored(every, "ranges")
     spans = runs.join(every, ["anchor", "run"]).select(
         "doc_id", "digest", F.transform("ranges", lambda r: F.struct((F.col("first") + r["at"]).alias("at"), r["n"].alias("n"))).alias("spans")
     )
