@@ -6,11 +6,13 @@ similarity t or more share a token among the first ``n - ceil(t n) + 1`` tokens
 1. The first order puts rare tokens first. It goes by a token's level (a range of its hash), in it by the number of classes
    that have it, then by hash; tokens that a bounded sample shows to be very common come last. So a document need only
    send the tokens of as many levels as its prefix can reach, and tokens that no other class has need no partner.
-2. Classes that share a prefix token are candidates: each token links its classes to one of them, and the components of
-   these links are groups. No pair that is similar is in two groups.
-3. A group is verified where its sets are together. There, candidates must share prefix tokens under further orders too;
-   the filters are intersected before the sets are. Groups over a size are dealt in blocks: first each block alone, then
-   only what is not in the group's largest component against all blocks."""
+2. Classes that share a prefix token are candidates. Each token's smallest class leads it, and the classes of all tokens
+   that one class leads are a unit: every pair of candidates is in a unit, and a class is in few of them.
+3. A unit is verified where its sets are together. There, candidates must share prefix tokens under further orders too;
+   the filters are intersected before the sets are. First each class takes part in one unit alone. What then still has
+   tokens between different components is verified in all its units, where only classes outside the unit's largest
+   component are compared with the rest. Units over a size are dealt in blocks.
+"""
 
 from __future__ import annotations
 
@@ -258,54 +260,103 @@ def overlaps(row: np.ndarray, column: np.ndarray, columns: int, n: int, left: np
     return total
 
 
-def links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (of ``left`` with ``right``) that are similar. Pairs must share prefix tokens under three orders; what is
-    left of them all is verified by the size of the whole intersection."""
+def pairs_by_token(row: np.ndarray, column: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """All pairs of rows that share a column, once each; None where the columns hold more than ``limit`` pairs."""
+    by = np.lexsort((row, column))
+    row, column = row[by], column[by]
+    at = np.flatnonzero(np.r_[True, column[1:] != column[:-1]]) if len(column) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[at, len(column)])
+    if (size * (size - 1) // 2).sum() > limit:
+        return None
+    place = np.arange(len(row)) - np.repeat(at, size)
+    a = np.repeat(row, place)
+    start = np.repeat(np.repeat(at, size), place)
+    b = row[start + np.arange(len(a)) - np.repeat(np.cumsum(place) - place, place)]
+    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+    return both[0], both[1]
+
+
+def common_count(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(x.tolist(), y.tolist())], np.int64)
+
+
+def links(sets: list[np.ndarray], zero: np.ndarray, component: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All similar pairs of different components, at least one of which is in ``zero`` (a mask).
+
+    Pairs must share prefix tokens under three orders: rarest first in this unit with ties by one hash, the same with ties
+    by another, and by a hash alone; what is left of all is verified by the size of the whole intersection. Where few
+    pairs share a token they are listed by token, otherwise the filters are products of matrices."""
     n = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
-    if len(left) * len(right) <= 4:
-        found = [(a, b) for a in left.tolist() for b in right.tolist() if a != b and similar(len(np.intersect1d(sets[a], sets[b], assume_unique=True)), size[a], size[b])]
-        return (np.array([x[0] for x in found], np.int64), np.array([x[1] for x in found], np.int64))
+    need = np.array([prefix_length(int(s)) for s in size])
     row, column, columns = matrix(sets)
     count = np.bincount(column, minlength=columns)
     alone = size - np.bincount(row, minlength=n)
-    need = np.array([prefix_length(int(s)) for s in size])
-    a, b = size[left][:, None], size[right][None, :]
-    able = (WHOLE * np.minimum(a, b) >= PART * np.maximum(a, b)) & (left[:, None] != right[None, :])
-    # orders: rarest first with ties by two hashes, where tokens of one set alone come first; and by hash alone
-    tokens = mix64(np.arange(columns, dtype=np.uint64), 41), mix64(np.arange(columns, dtype=np.uint64), 42)
-    for first, second in ((count, tokens[0]), (count, tokens[1])):
-        by = np.lexsort((second[column], first[column], row))
+    start = np.cumsum(np.r_[0, np.bincount(row, minlength=n)])[:-1]
+    kept = []
+    for seed in (41, 42):
+        by = np.lexsort((mix64(np.arange(columns, dtype=np.uint64), seed)[column], count[column], row))
         rank = np.empty(len(row), np.int64)
-        start = np.cumsum(np.r_[0, np.bincount(row, minlength=n)])[:-1]
         rank[by] = np.arange(len(row)) - start[row[by]]
         keep = rank + alone[row] < need[row]
-        able &= overlaps(row[keep], column[keep], columns, n, left, right) > 0
-    whole = [np.concatenate([mix64(s, 43) for s in sets]), np.repeat(np.arange(n), size)]
-    by = np.lexsort(whole)
-    rank = np.arange(len(by)) - np.cumsum(np.r_[0, size])[:-1][whole[1][by]]
-    keep = by[rank < need[whole[1][by]]]
-    _, at = np.unique(np.concatenate(sets)[keep], return_inverse=True)
-    if able.any():
-        able &= overlaps(whole[1][keep], at, int(at.max(initial=-1)) + 1, n, left, right) > 0
-    x, y = np.nonzero(able)
-    if not len(x):
-        return x, y
-    if len(x) > len(left) * len(right) // 50:
-        common = overlaps(row, column, columns, n, left, right)[x, y].astype(np.int64)
+        kept.append((row[keep], column[keep], columns))
+    whole = np.concatenate(sets)
+    of = np.repeat(np.arange(n), size)
+    by = np.lexsort((mix64(whole, 43), of))
+    rank = np.arange(len(by)) - np.cumsum(np.r_[0, size])[:-1][of[by]]
+    keep = by[rank < need[of[by]]]
+    _, at = np.unique(whole[keep], return_inverse=True)
+    kept.append((of[keep], at, int(at.max(initial=-1)) + 1))
+
+    def able(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        fits = WHOLE * np.minimum(size[x], size[y]) >= PART * np.maximum(size[x], size[y])
+        return fits & (component[x] != component[y]) & (zero[x] | zero[y])
+
+    listed = pairs_by_token(kept[0][0], kept[0][1], max(64, n * n // 16))
+    if listed is not None:
+        x, y = listed
+        good = able(x, y)
+        x, y = x[good], y[good]
+        for r, c, _ in kept[1:]:
+            by = np.lexsort((c, r))
+            mine = np.split(c[by], np.cumsum(np.bincount(r, minlength=n))[:-1])
+            good = common_count(mine, x, y) > 0 if len(x) else np.zeros(0, bool)
+            x, y = x[good], y[good]
     else:
-        common = np.array([len(np.intersect1d(sets[left[i]], sets[right[j]], assume_unique=True)) for i, j in zip(x, y)], np.int64)
-    good = similar(common, size[left[x]], size[right[y]])
-    return left[x[good]], right[y[good]]
+        left = np.flatnonzero(zero)
+        found = []
+        # strips of rows, so that the matrix of pairs stays small
+        for a in range(0, len(left), 1024):
+            strip = left[a : a + 1024]
+            both = np.ones((len(strip), n), bool)
+            for r, c, width in kept:
+                both &= overlaps(r, c, width, n, strip, np.arange(n)) > 0
+            i, j = np.nonzero(both)
+            i = strip[i]
+            good = able(i, j)
+            found.append((i[good], j[good]))
+        x, y = (np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    if len(x) > max(2000, n * n // 100):
+        common = np.empty(len(x), np.int64)
+        by = np.argsort(x, kind="stable")
+        for a in range(0, n, 1024):
+            mine = by[slice(*np.searchsorted(x[by], [a, a + 1024]))]
+            if len(mine):
+                strip = np.arange(a, min(n, a + 1024))
+                common[mine] = overlaps(row, column, columns, n, strip, np.arange(n))[x[mine] - a, y[mine]].astype(np.int64)
+    else:
+        common = common_count(sets, x, y)
+    good = similar(common, size[x], size[y])
+    return x[good], y[good]
 
 
 def similar(common, a, b):
     return WHOLE * common >= PART * (a + b - common)
 
 
-def roots(n: int, a: np.ndarray, b: np.ndarray, up: np.ndarray | None = None) -> np.ndarray:
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For n nodes and edges (a, b) the smallest node of each one's component."""
-    up = np.arange(n) if up is None else up
+    up = np.arange(n)
     while True:
         low = np.minimum(up[a], up[b])
         new = up.copy()
@@ -318,27 +369,23 @@ def roots(n: int, a: np.ndarray, b: np.ndarray, up: np.ndarray | None = None) ->
 
 
 def verified(sets: DataFrame) -> DataFrame:
-    """a, b (classes): edges that join each component of the similar pairs, from rows of part, grp, side, cls, tokens. Rows
-    of side 0 are compared with each other and with rows of side 1, those of side 1 not with each other."""
+    """a, b (classes): edges that join the components of similar pairs, from rows of part, unit, side, cls, component, tokens.
+    Rows of side 0 are compared with all, those of side 1 not with each other; nor are rows of one component."""
 
     def go(rows: pa.Table) -> pa.Table:
-        group, cls, side = (np.array(rows.column(c).to_pylist(), np.int64) for c in ("grp", "cls", "side"))
-        packed = rows.column("tokens").to_pylist()
-        by = np.lexsort((cls, side, group))
-        cuts = np.flatnonzero(np.r_[True, np.diff(group[by]) != 0]).tolist()
+        unit, cls, side, component = (np.array(rows.column(c).to_pylist(), np.int64) for c in ("unit", "cls", "side", "component"))
+        packed = rows.column("tokens")
+        by = np.lexsort((side, cls, unit))
+        cuts = np.flatnonzero(np.r_[True, np.diff(unit[by]) != 0]).tolist()
         out_a, out_b = [], []
         for a, b in zip(cuts, [*cuts[1:], len(by)]):
             mine = by[a:b]
-            mine = mine[np.r_[True, (np.diff(cls[mine]) != 0) | (np.diff(side[mine]) != 0)]]
-            if len(mine) < 2:
+            mine = mine[np.r_[True, np.diff(cls[mine]) != 0]]
+            if len(mine) < 2 or (component[mine] == component[mine[0]]).all():
                 continue
-            sets = [np.frombuffer(packed[i], np.uint64) for i in mine]
-            every, zero = np.arange(len(mine)), np.flatnonzero(side[mine] == 0)
-            up = np.arange(len(mine))
-            # strips of rows, so that the matrix of pairs stays small
-            for at in range(0, len(zero), 1024):
-                up = roots(len(mine), *links(sets, zero[at : at + 1024], every), up)
-            linked = np.flatnonzero(up != every)
+            sets = [np.frombuffer(packed[int(i)].as_py(), np.uint64) for i in mine]
+            up = roots(len(mine), *links(sets, side[mine] == 0, component[mine]))
+            linked = np.flatnonzero(up != np.arange(len(mine)))
             out_a.append(cls[mine[linked]])
             out_b.append(cls[mine[up[linked]]])
         return pa.table({"a": np.concatenate(out_a) if out_a else np.zeros(0, np.int64), "b": np.concatenate(out_b) if out_b else np.zeros(0, np.int64)})
@@ -350,7 +397,8 @@ def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The rows of ``wanted`` (doc_id, cls, ...) with ``tokens``, the whole set, from the document they name."""
     texts = docs.select(F.col("doc_id").alias("id"), "text")
     rest = [c for c in wanted.columns if c != "doc_id"]
-    both = wanted.join(texts, F.col("id").eqNullSafe(F.col("doc_id"))).select("text", *rest)
+    # a merge join at every size: the texts are dealt once, and what is wanted may be large
+    both = wanted.hint("merge").join(texts, F.col("id").eqNullSafe(F.col("doc_id"))).select("text", *rest)
     kinds = dict(wanted.dtypes)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,62 +421,82 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     is Spark's xxhash64 of the text. Ids that are
     null count as larger than all others and stay null where nothing else is reached; repeated rows link with each other;
     an empty table gives no rows. Shingles and sets are told apart by 64-bit hashes."""
-    spread = max(4, docs.select("text").rdd.getNumPartitions())
+    spread = 16 * docs.select("text").rdd.getNumPartitions()
     sent = stored(sent_tokens(docs, common_tokens(docs), spread), "tokens")
     rows = sent.where("range is null").select("doc_id", "digest", "cls", "n", "levels", "common")
     classes = stored(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("levels").alias("levels"), F.first("common").alias("common")), "classes")
     tokens = stored(prefix_tokens(classes, shared_tokens(sent)), "prefixes")
-    # each token's classes are joined to its smallest class: as many edges as there are rows
-    low = tokens.groupBy("token").agg(F.min("cls").alias("low"), F.count("*").alias("n")).where("n > 1")
-    edges = tokens.join(low.select("token", "low"), "token").select(F.col("cls").alias("a"), F.col("low").alias("b"))
-    grouped = components(edges, "candidates")
-    members = grouped.unionByName(grouped.select(F.col("root").alias("node"), "root").distinct())
-    members = members.join(classes.select(F.col("cls").alias("node"), "doc_id", "n"), "node").select(F.col("node").alias("cls"), F.col("root").alias("grp"), "doc_id", "n")
-    sizes = members.groupBy("grp").agg((F.sum("n") * 8).alias("bytes"))
-    members = stored(members.join(sizes, "grp").withColumn("blocks", F.ceil(F.col("bytes") / BLOCK).cast("long")), "members")
-    total = members.agg(F.sum(F.col("n") * 8).alias("bytes"), F.max("blocks").alias("most")).first()
-    parts = max(1, math.ceil((total["bytes"] or 0) / (4 << 20)))
-    block = F.pmod(F.xxhash64("cls"), F.col("blocks"))
-    wanted = members.select("doc_id", "cls", "grp", "blocks", F.pmod(F.xxhash64("grp", block), F.lit(parts)).alias("part"), F.lit(0).alias("side"), block.alias("block"))
-    sets = class_sets(docs, wanted)
-    # blocks of one large group are groups of their own here
-    alone = sets.select("part", F.when(F.col("blocks") > 1, F.xxhash64("grp", "block")).otherwise(F.col("grp")).alias("grp"), "side", "cls", "tokens")
-    found = stored(verified(alone), "links")
-    if (total["most"] or 0) > 1:
-        found = found.unionByName(across_blocks(docs, members.where("blocks > 1"), found))
+    low = tokens.groupBy("token").agg(F.min("cls").alias("unit"), F.count("*").alias("k")).where("k > 1")
+    led = stored(tokens.join(low.select("token", "unit"), "token"), "led")
+    first = led.groupBy("cls").agg(F.min("unit").alias("unit")).withColumn("component", F.col("cls"))
+    found = stored(verified(class_sets(docs, dealt(first, classes))), "links")
+    joined = components(found, "joined")
+    if large_units(first, classes):
+        # blocks of large units have met in themselves alone: some members of all blocks meet next
+        some = with_components(first, joined).where(F.pmod(F.xxhash64("cls", F.lit(1)), F.lit(16)) == 0)
+        found = stored(found.unionByName(verified(class_sets(docs, dealt(some, classes)))), "links")
         joined = components(found, "joined")
-    else:
-        joined = found.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    ids = classes.select(F.col("cls").alias("node"), "doc_id").join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "doc_id")
-    least = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    ids = ids.join(least, "root").select(F.col("node").alias("cls"), "component_id")
+    now = with_components(led, joined)
+    mixed = now.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token")
+    again = now.join(mixed, "token", "left_semi").select("unit", "cls", "component").distinct()
+    found = found.unionByName(verified(class_sets(docs, dealt(again, classes, apart=True))))
+    joined = components(found, "joined")
+    ids = with_components(classes.select("cls", "doc_id"), joined)
+    least = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    ids = ids.join(least, "component").select("cls", "component_id")
     return rows.join(ids, "cls", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("cls").alias("class_id"), "digest"
     )
 
 
-def across_blocks(docs: DataFrame, members: DataFrame, found: DataFrame) -> DataFrame:
-    """Edges between blocks of large groups. A few members of each block's components meet first; then only members outside
-    the group's largest component are compared with the members of all blocks."""
-    for step in ("leaders", "rest"):
-        joined = components(found, step)
-        now = members.join(joined, members.cls == joined.node, "left").withColumn("root", F.coalesce("root", "cls"))
-        sizes = now.groupBy("grp", "root").agg(F.count("*").alias("size"))
-        main = sizes.groupBy("grp").agg(F.max_by("root", F.struct("size", "root")).alias("main"))
-        now = now.join(main, "grp").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
-        inside = F.col("root") == F.col("main")
-        if step == "leaders":
-            chosen = now.where(F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks") * 4) == 0)
-            pairs = chosen.select("doc_id", "cls", "grp", F.xxhash64("grp", F.lit(step)).alias("part"), F.lit(0).alias("side"))
-        else:
-            # members outside go to every block, in parts of their own; those inside only to their own block
-            away = now.where(~inside).withColumn("piece", F.pmod(F.xxhash64("cls", F.lit(2)), F.lit(16)))
-            used = away.select("grp", "piece").distinct()
-            spread = away.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("side", F.lit(0))
-            inner = now.join(used, "grp").withColumn("side", F.lit(1))
-            pairs = spread.unionByName(inner.select(spread.columns)).select("doc_id", "cls", "grp", F.xxhash64("grp", "block", "piece").alias("part"), "side")
-        found = stored(found.unionByName(verified(class_sets(docs, pairs))), step)
-    return found
+def with_components(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """rows (with cls) and their component so far; a class without links is its own."""
+    return rows.drop("component").join(joined.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("component", F.coalesce("root", "cls")).drop("root")
+
+
+def unit_sizes(units: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(units with doc_id and n of each class, blocks of each unit that has two classes or more)."""
+    members = units.join(classes.select("cls", "doc_id", "n"), "cls")
+    sizes = members.groupBy("unit").agg(F.ceil(F.sum("n") * 8 / BLOCK).cast("long").alias("blocks"), F.count("*").alias("k"), F.sum(F.col("n") * 8).alias("bytes")).where("k > 1")
+    return members, sizes
+
+
+def large_units(units: DataFrame, classes: DataFrame) -> bool:
+    return not unit_sizes(units, classes)[1].where("blocks > 1").isEmpty()
+
+
+def dealt(units: DataFrame, classes: DataFrame, apart: bool = False) -> DataFrame:
+    """doc_id, cls, component, unit, side, part: classes dealt to tasks by unit, those of large units by block.
+
+    apart: a unit's largest component is side 1 and stays in its own block; the rest is side 0 and goes to every block, in
+    pieces, so that all pairs between components meet and nothing else has to."""
+    members, sizes = unit_sizes(units, classes)
+    members = members.join(sizes.select("unit", "blocks"), "unit").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    total = sizes.agg(F.sum("bytes")).first()[0] or 0
+    parts = max(1, math.ceil(total / (2 << 20)))
+    piece = F.lit(0).cast("long")
+    if apart:
+        counts = members.groupBy("unit", "component").agg(F.count("*").alias("k"))
+        main = counts.groupBy("unit").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("k"), F.max("k").alias("inside"))
+        # pieces of members outside: as many as keep a piece near a block's size
+        main = main.select("unit", "main", F.greatest(F.lit(1), F.ceil((F.col("k") - F.col("inside")) / 4096)).cast("long").alias("pieces"))
+        members = members.join(main, "unit")
+        outside = F.col("component") != F.col("main")
+        members = members.withColumn("side", F.when(outside, 0).otherwise(1))
+        every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+        pieces_ = F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)
+        mine = F.pmod(F.xxhash64("cls", F.lit(2)), F.col("pieces"))
+        # members outside meet every block with their own piece, and all other pieces where those are dealt as side 1
+        spots = F.when(outside, F.flatten(F.transform(every, lambda b: F.transform(pieces_, lambda q: F.struct(b.alias("block"), q.alias("piece"), (q == mine).alias("own"))))))
+        spots = spots.otherwise(F.transform(pieces_, lambda q: F.struct(F.col("block").alias("block"), q.alias("piece"), F.lit(False).alias("own"))))
+        members = members.withColumn("spot", F.explode(spots)).withColumn("block", F.col("spot.block"))
+        members = members.withColumn("side", F.when(F.col("spot.own"), 0).otherwise(1))
+        piece = F.col("spot.piece")
+    else:
+        members = members.withColumn("side", F.lit(0))
+    unit = F.when((F.col("blocks") > 1) | (piece > 0), F.xxhash64("unit", "block", piece)).otherwise(F.col("unit"))
+    members = members.withColumn("task", unit)
+    return members.select("doc_id", "cls", "component", F.col("task").alias("unit"), "side", F.pmod(F.xxhash64("task"), F.lit(parts)).alias("part"))
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
