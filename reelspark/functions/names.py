@@ -312,7 +312,7 @@ def answer_score(text: Column) -> Column:
     """First number of an answer, between 1 and 10; 4 where there is none."""
     digits = F.regexp_extract(text, r"(\d+)", 1)
     n = F.when(F.length(digits) > 9, F.lit(10)).otherwise(digits.try_cast("int"))
-    return F.coalesce(F.greatest(F.lit(1), F.least(F.lit(10), n)), F.lit(4))
+    return F.when(n.isNull(), 4).otherwise(F.greatest(F.lit(1), F.least(F.lit(10), n)))
 
 
 def answer_same(text: Column) -> Column:

@@ -36,7 +36,11 @@ def merged_names(clips: DataFrame, keys: list[str], order: tuple[str, ...] = ("s
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("tags"),
     )
     tags = F.filter("tags", lambda t: (t != "") & (t != N.NONE_TAG))
-    ordered = F.flatten(F.array(*[F.filter(tags, lambda t, c=c: N.tag_category(t) == c) for c in N.TAG_ORDER]))
+
+    def of(category: str) -> F.Column:
+        return F.filter(tags, lambda t: N.tag_category(t) == F.lit(category))
+
+    ordered = F.flatten(F.array(*map(of, N.TAG_ORDER)))
     parts = F.concat(ordered, F.filter(F.array(F.concat(F.lit(N.SCORE_TAG), F.col("score").cast("string")), "series_name", "episode", F.col("start").cast("string")), lambda v: v.isNotNull() & (v != "")))
     return base.select(*keys, "members", F.when(F.col("members") == 1, F.col("first_name")).otherwise(F.array_join(parts, "_")).alias("merged_name"))
 
