@@ -33,7 +33,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 UNBASE = np.uint64(pow(int(BASE), -1, 1 << 64))
 BYTE = mix64(np.arange(256, dtype=np.uint64), 11)
 POWERS: list[np.ndarray] = []
-RUNS = "doc_id long, digest long, anchor long, run long, first long, n int"
+RUNS = "doc_id long, digest long, anchor long, run long, first long, n int, times int"
 RANGES = "array<struct<at:int,n:int>>"
 RANGE_TYPE = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())]))
 
@@ -73,7 +73,7 @@ def run_hash(content: np.ndarray, n: np.ndarray, back: np.ndarray) -> np.ndarray
 
 
 def find_runs(parts: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarray, ...]:
-    """(part, anchor hash, run hash, first start in the text, starts) of all runs; parts: (row, place in its text, bytes)."""
+    """(part, anchor hash, run hash, first start in the text, starts, times in a row) of all runs; parts: (row, place in its text, bytes)."""
     buffer = np.frombuffer(b"".join(p[2] for p in parts), np.uint8)
     size = np.array([len(p[2]) for p in parts], np.int64)
     begin = np.cumsum(size) - size
@@ -89,7 +89,13 @@ def find_runs(parts: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndar
     first, anchor, part = start[at], owner[at], part[at]
     content = hashes.of(first, first + n - 1 + length)
     place = np.array([p[1] for p in parts], np.int64)
-    return part, grams[anchor], run_hash(content, n, anchor - first), first - begin[part] + place[part], n
+    run = run_hash(content, n, anchor - first)
+    # a periodic stretch is the same run again and again: one row that says how many times
+    same = (part[1:] == part[:-1]) & (run[1:] == run[:-1]) & (grams[anchor[1:]] == grams[anchor[:-1]]) & (first[1:] == first[:-1] + n[:-1])
+    at = np.flatnonzero(np.r_[True, ~same]) if len(run) else np.zeros(0, np.int64)
+    times = np.diff(np.r_[at, len(run)])
+    part, anchor, run, first, n = part[at], anchor[at], run[at], first[at], n[at]
+    return part, grams[anchor], run, first - begin[part] + place[part], n, times
 
 
 def runs_of(docs: DataFrame, length: int) -> DataFrame:
@@ -103,11 +109,11 @@ def runs_of(docs: DataFrame, length: int) -> DataFrame:
                     yield doc_id, digest, place, raw[place : place + PART + length - 1]
 
     def flush(held: list[tuple]) -> pa.RecordBatch:
-        part, anchor, run, first, n = find_runs([(0, p, raw) for _, _, p, raw in held], length)
+        part, anchor, run, first, n, times = find_runs([(0, p, raw) for _, _, p, raw in held], length)
         ids, digests = (pa.array([h[i] for h in held], pa.int64()).take(pa.array(part)) for i in (0, 1))
         return pa.RecordBatch.from_arrays(
-            [ids, digests, pa.array(anchor.view(np.int64)), pa.array(run.view(np.int64)), pa.array(first), pa.array(n.astype(np.int32))],
-            ["doc_id", "digest", "anchor", "run", "first", "n"],
+            [ids, digests, pa.array(anchor.view(np.int64)), pa.array(run.view(np.int64)), pa.array(first), pa.array(n.astype(np.int32)), pa.array(times.astype(np.int32))],
+            ["doc_id", "digest", "anchor", "run", "first", "n", "times"],
         )
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +249,7 @@ def merged(prints: DataFrame) -> DataFrame:
 def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
     """doc_id, digest, spans (at, n: start and number of starts of strings that repeat) of all rows that have any."""
     runs = stored(runs_of(docs, length), "runs")
-    kinds = runs.groupBy("anchor", "run", "n").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "digest", "first")).alias("of"))
+    kinds = runs.groupBy("anchor", "run", "n").agg(F.sum("times").alias("copies"), F.min(F.struct("doc_id", "digest", "first")).alias("of"))
     kinds = stored(kinds, "kinds")
     anchors = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max(F.col("copies")).alias("most"), F.min("copies").alias("least"))
     seen = kinds.join(anchors.where("kinds > 1 or most > 1"), "anchor")
@@ -264,8 +270,9 @@ def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
     every = ranges_.unionByName(full).groupBy("anchor", "run").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
     # stored, so that the join below starts from plain exchanges and a run with very many copies can be split
     every = stored(every, "ranges")
+    stretch = F.array(F.struct(F.col("first").alias("at"), (F.col("n") * F.col("times")).alias("n")))
     spans = runs.join(every, ["anchor", "run"]).select(
-        "doc_id", "digest", F.transform("ranges", lambda r: F.struct((F.col("first") + r["at"]).alias("at"), r["n"].alias("n"))).alias("spans")
+        "doc_id", "digest", F.when(F.col("times") > 1, stretch).otherwise(F.transform("ranges", lambda r: F.struct((F.col("first") + r["at"]).alias("at"), r["n"].alias("n")))).alias("spans")
     )
     return spans.groupBy("doc_id", "digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
