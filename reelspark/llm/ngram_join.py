@@ -9,9 +9,9 @@ similarity t or more share a token among the first ``n - ceil(t n) + 1`` tokens
 2. Classes that share a prefix token are candidates. Each token's smallest class leads it, and the classes of all tokens
    that one class leads are a unit: every pair of candidates is in a unit, and a class is in few of them.
 3. A unit is verified where its sets are together. There, candidates must share prefix tokens under further orders too;
-   the filters are intersected before the sets are. First each class takes part in one unit alone. What then still has
-   tokens between different components is verified in all its units, where only classes outside the unit's largest
-   component are compared with the rest. Units over a size are dealt in blocks.
+   the filters are intersected before the sets are. First each class takes part in one unit alone. Units that
+   then still hold different components are verified whole, where only classes outside the unit's largest component are
+   compared with the rest. Units over a size are dealt in blocks.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ LEVELS = np.array([0.3, 0.6]) * 2.0**64
 #: Documents in the sample for very common tokens, about, and in how many of them a token must be. Any choice gives the same links.
 SAMPLE, COMMON = 4_000, 8
 #: Bytes of text whose tokens a task sends at a time, and of sets that one verification holds.
-FLUSH, BLOCK = 16 << 20, 24 << 20
+FLUSH, BLOCK = 16 << 20, 8 << 20
 MULTIPLIERS = mix64(np.arange(WORDS, dtype=np.uint64), 21) | np.uint64(1)
 
 
@@ -53,7 +53,7 @@ class WordHashes(dict):
         return at
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         return self.table[at]
@@ -427,7 +427,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     classes = stored(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("levels").alias("levels"), F.first("common").alias("common")), "classes")
     tokens = stored(prefix_tokens(classes, shared_tokens(sent)), "prefixes")
     low = tokens.groupBy("token").agg(F.min("cls").alias("unit"), F.count("*").alias("k")).where("k > 1")
-    led = stored(tokens.join(low.select("token", "unit"), "token"), "led")
+    led = stored(tokens.join(low.select("token", "unit"), "token").select("unit", "cls").distinct(), "led")
     first = led.groupBy("cls").agg(F.min("unit").alias("unit")).withColumn("component", F.col("cls"))
     found = stored(verified(class_sets(docs, dealt(first, classes))), "links")
     joined = components(found, "joined")
@@ -436,9 +436,9 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
         some = with_components(first, joined).where(F.pmod(F.xxhash64("cls", F.lit(1)), F.lit(16)) == 0)
         found = stored(found.unionByName(verified(class_sets(docs, dealt(some, classes)))), "links")
         joined = components(found, "joined")
-    now = with_components(led, joined)
-    mixed = now.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token")
-    again = now.join(mixed, "token", "left_semi").select("unit", "cls", "component").distinct()
+    now = stored(with_components(led, joined), "now")
+    mixed = now.groupBy("unit").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("unit")
+    again = now.join(mixed, "unit", "left_semi")
     found = found.unionByName(verified(class_sets(docs, dealt(again, classes, apart=True))))
     joined = components(found, "joined")
     ids = with_components(classes.select("cls", "doc_id"), joined)
@@ -527,7 +527,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     linked = found.where("n_shingles > 0 and component_id is not null").groupBy(F.col("component_id").alias("id")).agg(F.min(F.when(F.col("doc_id") == F.col("component_id"), F.col("digest"))).alias("hash"))
     apart = found.where("n_shingles = 0 or component_id is null").select(F.col("doc_id").alias("id"), F.col("digest").alias("hash"), F.lit(True).alias("repeats"))
     stay = linked.withColumn("repeats", F.lit(False)).unionByName(apart).distinct()
-    rows = docs.withColumn("digest", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"))
     rows = rows.join(stay, rows.doc_id.eqNullSafe(stay.id) & (rows.digest == stay.hash))
     once = rows.where(~F.col("repeats")).dropDuplicates(["doc_id", "digest"])
-    return once.unionByName(rows.where("repeats")).select(docs.columns)
+    return once.unionByName(rows.where("repeats")).select("row.*")
