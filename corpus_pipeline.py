@@ -21,9 +21,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 400 bytes that start in two places go from the texts; documents stay, with what is left of their text."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    kept = suffix_dedup.suffix_dedup(docs, keep=tuple(rest))
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    kept = suffix_dedup.suffix_dedup(docs, carry=True)
+    own = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return kept.select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

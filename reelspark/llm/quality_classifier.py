@@ -78,10 +78,10 @@ def _strength(groups: DataFrame, parent: str, low: float = 2.0, high: float = 10
         F.sum(F.col("n") * F.pow(F.col("k") / F.col("n") - F.col(parent), 2)).alias("s"),
         F.sum("n").alias("total"),
         (F.sum(F.col("n") * F.col("n"))).alias("squares"),
-        (F.sum(F.col("n") * F.col(parent) * (1 - F.col(parent))) / F.sum("n")).alias("v"),
+        F.try_divide(F.sum(F.col("n") * F.col(parent) * (1 - F.col(parent))), F.sum("n")).alias("v"),
         (F.count("*") - 1).alias("free"),
     )
-    rho = (F.col("s") / F.col("v") - F.col("free")) / (F.col("total") - F.col("squares") / F.col("total") - F.col("free"))
+    rho = F.try_divide(F.try_divide(F.col("s"), F.col("v")) - F.col("free"), F.col("total") - F.try_divide(F.col("squares"), F.col("total")) - F.col("free"))
     rho = F.greatest(F.lit(1e-6), F.coalesce(F.when((F.col("v") > 0) & (F.col("free") > 0), rho), F.lit(1e-6)))
     return found.select(F.least(F.lit(high), F.greatest(F.lit(low), (1 - rho) / rho)).alias("strength"))
 
@@ -165,5 +165,5 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that the classifier keeps."""
     stay = quality_classifier(docs, labels).where("keep").select(F.col("doc_id").alias("id"), F.col("digest").alias("hash")).distinct()
-    rows = docs.withColumn("digest", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return rows.join(stay, rows.doc_id.eqNullSafe(stay.id) & (rows.digest == stay.hash), "left_semi").select(docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"))
+    return rows.join(stay, rows.doc_id.eqNullSafe(stay.id) & (rows.digest == stay.hash), "left_semi").select("row.*")

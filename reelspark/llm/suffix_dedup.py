@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import by_batch, kasai, mix64, pieces, stored, suffix_ranks, table
 
@@ -277,21 +278,25 @@ def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
     return spans.groupBy("doc_id", "digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
-def suffix_dedup(docs: DataFrame, length: int = 400, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text and the columns ``keep``): doc_id, text without its repeats,
-    n_bytes, n_removed, n_spans, kept_sha256, then ``keep``.
+def suffix_dedup(docs: DataFrame, length: int = 400, carry: bool = False) -> DataFrame:
+    """One row for each row of ``docs`` (doc_id, text): doc_id, text without its repeats, n_bytes, n_removed, n_spans,
+    kept_sha256 and, where ``carry``, ``row``, a struct of the columns of ``docs`` besides doc_id and text.
 
     Each byte goes that a string of ``length`` bytes covers which also starts anywhere else in any text, the same one
     included; strings are judged on the input. Where a cut leaves part of a character, its bytes stay in the digest and
     are dropped from the text. Null texts are empty, texts under ``length`` bytes stay whole, repeated rows repeat each
     other, rows with a null id are like others, an empty table gives no rows. Rows with one doc_id and different texts
     are kept apart by a hash of the text."""
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"), "text", *keep)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    row = F.struct(*[F.col(f"`{c}`") for c in rest]) if carry and rest else F.struct(F.lit(0).alias("none"))
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"), "text", row.alias("row"))
     spans = repeated_ranges(rows.select("doc_id", "digest", "text"), length)
     spans = spans.select(F.col("doc_id").alias("id"), F.col("digest").alias("hash"), "spans")
-    both = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("hash")), "left").select("doc_id", "text", "spans", *keep)
-    kinds = dict(docs.dtypes)
-    schema = "doc_id long, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + "".join(f", `{c}` {kinds[c]}" for c in keep)
+    columns = ["doc_id", "text", "spans", "row"] if carry else ["doc_id", "text", "spans"]
+    both = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("hash")), "left").select(*columns)
+    schema = StructType.fromDDL("doc_id long, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    if carry:
+        schema = schema.add("row", both.schema["row"].dataType)
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, facts = [], []
@@ -305,7 +310,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, keep: tuple[str, ...] = ())
             texts.append(rest.decode(errors="ignore"))
             facts.append((len(raw), removed, n, hashlib.sha256(rest).hexdigest()))
         columns = [batch.column(0), pa.array(texts, pa.string()), *(pa.array(c) for c in zip(*facts)), *batch.columns[3:]]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256", *keep])
+        return pa.RecordBatch.from_arrays(columns, schema.names)
 
     return by_batch(both, cut, schema, 4 << 20)
 

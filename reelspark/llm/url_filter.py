@@ -34,7 +34,7 @@ def _fits(host: Column, path: Column, rule: tuple[str, str, str]) -> Column:
 def _shrink(counts: DataFrame, parent: str, level: str) -> DataFrame:
     """Posterior means and strengths of one level: counts has n, k (pages with an outcome, good ones) and the prior
     mean ``parent``. The prior's strength comes from the spread between the level's groups (one-way moments)."""
-    part = F.sum(F.when(F.col("n") > 0, F.col("n") * F.pow(F.col("k") / F.col("n") - F.col(parent), 2)).otherwise(0.0))
+    part = F.sum(F.when(F.col("n") > 0, F.col("n") * F.pow(F.try_divide(F.col("k"), F.col("n")) - F.col(parent), 2)).otherwise(0.0))
     fit = counts.agg(
         part.alias("s"),
         F.sum("n").alias("total"),
@@ -42,10 +42,10 @@ def _shrink(counts: DataFrame, parent: str, level: str) -> DataFrame:
         F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("groups"),
         F.sum(F.col("n") * F.col(parent) * (1 - F.col(parent))).alias("binomial"),
     )
-    m = F.col("binomial") / F.col("total")
+    m = F.try_divide(F.col("binomial"), F.col("total"))
     free = F.col("groups") - 1
-    rho = (F.col("s") / m - free) / (F.col("total") - F.col("squares") / F.col("total") - free)
-    rho = F.least(F.lit(0.99), F.greatest(F.lit(0.001), F.coalesce(F.when(m > 0, rho), F.lit(0.01))))
+    rho = F.try_divide(F.try_divide(F.col("s"), m) - free, F.col("total") - F.try_divide(F.col("squares"), F.col("total")) - free)
+    rho = F.least(F.lit(0.5), F.greatest(F.lit(0.001), F.coalesce(F.when(m > 0, rho), F.lit(0.01))))
     strength = fit.select(((1 - rho) / rho).alias("strength"))
     # one row of five sums: its broadcast does not grow
     out = counts.crossJoin(F.broadcast(strength))
@@ -117,7 +117,7 @@ def _level(name: str, counts: str, parent: str, keys: str) -> str:
     return f"""
 {name}_fit AS (SELECT sum(CASE WHEN n > 0 THEN n * pow(k / n - {parent}, 2) ELSE 0 END) s, sum(n) total, sum(n * n) squares,
   count(*) FILTER (n > 0) g, sum(n * {parent} * (1 - {parent})) / sum(n) m FROM {counts}),
-{name}_m AS (SELECT (1 - rho) / rho st FROM (SELECT least(0.99, greatest(0.001, coalesce(CASE WHEN m > 0 THEN
+{name}_m AS (SELECT (1 - rho) / rho st FROM (SELECT least(0.5, greatest(0.001, coalesce(CASE WHEN m > 0 THEN
   (s / m - (g - 1)) / nullif(total - squares / total - (g - 1), 0) END, 0.01))) rho FROM {name}_fit)),
 {name}_post AS (SELECT {keys}, n, k, st * {parent} + k a, st * (1 - {parent}) + n - k b FROM {counts}, {name}_m)"""
 
