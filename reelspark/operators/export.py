@@ -78,3 +78,10 @@ def run_plan(plan: DataFrame, cut: Callable[[Row], bool]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.bool_(), pa.string()))], ["target", "ok", "error"])
 
     return plan.where("state = 'cut'").mapInArrow(go, "target string, ok boolean, error string")
+
+
+def frame_requests(rows: DataFrame, cached: DataFrame) -> DataFrame:
+    """video_path, frame_no of pictures to decode for (video_path, start_frame, end_frame, frame_idx), each once and only those
+    that ``cached`` does not have."""
+    wanted = rows.select("video_path", T.target_frame(F.col("start_frame"), F.col("end_frame"), F.col("frame_idx")).alias("frame_no")).distinct()
+    return wanted.join(cached.select("video_path", "frame_no"), ["video_path", "frame_no"], "left_anti")

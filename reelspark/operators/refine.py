@@ -176,6 +176,6 @@ def kept_only(rows: DataFrame, kept: DataFrame, scene: Sequence[str] = SCENE) ->
 
 def merge_maps(rows: DataFrame, keys: Sequence[str], column: str, order: Sequence[str], first: bool = True) -> DataFrame:
     """One map for each group: of a key that several rows have, the first row's value counts, or the last one's."""
-    entries = rows.select(*keys, *order, F.explode(column).alias("k", "v"))
-    pick = F.min_by("v", F.struct(*order)) if first else F.max_by("v", F.struct(*order))
-    return entries.groupBy(*keys, "k").agg(pick.alias("v")).groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias(column))
+    entries = rows.select(*keys, *order, F.explode(column).alias("_key", "_value"))
+    pick = F.min_by("_value", F.struct(*order)) if first else F.max_by("_value", F.struct(*order))
+    return entries.groupBy(*keys, "_key").agg(pick.alias("_value")).groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_key", "_value")))).alias(column))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import hashlib
 import json
 import shutil
@@ -13,21 +14,58 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of stages that this process wrote; they go when it ends.
+MADE: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset, as in tests, a temporary folder that goes at the end."""
+    """``spark.checkpoint.dir`` of the session; where it is unset, as in tests, a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = tempfile.mkdtemp(prefix="reelspark-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
+        MADE.append(found)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one. Results read it lazily, so it stays as long as this process does."""
+    MADE.append(f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}")
+    return MADE[-1]
+
+
+@atexit.register
+def clear() -> None:
+    """Removes the stages: local ones directly, those in a store while there is a session to do it."""
+    session = SparkSession.getActiveSession()
+    for path in MADE:
+        local = path.removeprefix("file://")
+        if "://" not in local:
+            shutil.rmtree(local, ignore_errors=True)
+        elif session is not None:
+            delete(session, path)
+    MADE.clear()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes a stage and reads it back, so that its lineage ends there and lost executors lose nothing."""
-    path = f"{shared_dir(df.sparkSession)}/stage-{name}-{uuid.uuid4().hex}"
+    spark, schema, path = df.sparkSession, df.schema, stage_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    release(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark find plans that nothing refers to any more, and so remove their shuffle files from the executors' disks."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a stage that later stages have made superfluous."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def settings_key(settings: dict) -> str:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import frames as X
 from ..functions import names as N
 from ..operators import export, refine, search, shots
-from ..plans.stages import shared_dir
+from ..plans.stages import stage_path
 from ..sources import scenes as SC
 from ..streaming import incremental
 from . import tables as T
@@ -252,14 +250,10 @@ def session_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.sessions(e, "30 minutes", "1 hour").withColumn("mean_value", F.round("mean_value", 4))
 
 
-def _folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-
-
 @query("""WITH s AS (SELECT 'v' || (vec_id // 50) AS video_path, vec_id % 50 * 5 AS frame_no FROM embeddings) SELECT video_path, min(frame_no) AS first_frame, max(frame_no) AS last_frame, count(*) AS samples FROM s GROUP BY video_path""")
 def streaming_incremental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples come in two deliveries, the second with videos of the first; each video is indexed once."""
-    at = _folder(spark)
+    at = stage_path(spark, "stream")
     rows = T.samples(spark, sf_dir)
     video = F.substring("video_path", 2, 9).cast("int")
 
@@ -276,7 +270,7 @@ def streaming_incremental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, prompt_idx, sim FROM p QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY sim DESC, prompt_idx) <= 3""")
 def streaming_running_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates that come in deliveries; the best three of each user over all of them."""
-    at = _folder(spark)
+    at = stage_path(spark, "stream")
     rows = T.read(spark, sf_dir, "events").select("event_id", "user_id", (F.col("event_id") % 50).alias("prompt_idx"), F.col("value").alias("sim"))
     for i in range(3):
         rows.where(F.col("event_id") % 3 == i).drop("event_id").coalesce(1).write.mode("append").parquet(f"{at}/in")

@@ -101,7 +101,7 @@ def find_videos(spark: SparkSession, folder: str, extensions: Sequence[str] = VI
     """video_path and folder of the video files in a folder, or in the folders in it where it has none; sorted without case."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.col("path").alias("video_path"))
     files = files.where(is_video(F.col("video_path"), extensions)).distinct()
-    root = F.lit(folder.rstrip("/").split("://")[-1])
+    root = folder.rstrip("/").split("://")[-1]
     inner = F.regexp_extract(F.col("video_path"), r"([^/]+)/[^/]+$", 1)
     files = files.withColumn("depth", F.size(F.split(F.substring_index(F.col("video_path"), root, -1), "/")) - 2).where("depth <= 1")
     top = files.agg(F.min("depth").alias("least"))
