@@ -1,11 +1,7 @@
-"""Helpers that the training-data operators share: tables, stored stages, hashing and array kernels."""
+"""Helpers that the training-data operators share: tables, batches, hashing and array kernels."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from ..plans.stages import delete, stage_path, stored
+
+__all__ = ["ASCII_SPACE", "by_batch", "delete", "kasai", "mix64", "pieces", "stage_path", "stored", "suffix_ranks", "table"]
 #: The characters that separate words: space, tab, newline, vertical tab, form feed, carriage return.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -22,25 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session, or, where that is unset
-    (local tests), a temporary folder that goes when the process ends."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="reelspark-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes a stage as a table in the shared folder and reads it back: lineage ends there and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def by_batch(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, limit: int = 8 << 20) -> DataFrame:
     """Applies ``make`` to Arrow batches that are cut so that strings and binaries of one call stay near ``limit`` bytes."""
 

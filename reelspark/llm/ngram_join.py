@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_batch, mix64, pieces, stored, table
+from .common import by_batch, delete, mix64, pieces, stage_path, stored, table
 
 WORDS = 5
 #: Similarity as a fraction, so that bounds are exact: 80 / 100.
@@ -187,7 +187,7 @@ def shared_tokens(sent: DataFrame) -> DataFrame:
         out = [(int(owners[a]), tokens[a:b].tobytes(), count[a:b].tobytes()) for a, b in zip(cuts, [*cuts[1:], len(owners)])]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 3, (pa.int64(), pa.binary(), pa.binary()))], ["cls", "tokens", "counts"])
 
-    return sent.where("range is not null").select("range", "tokens", "owners").groupBy("range").applyInArrow(go, "cls long, tokens binary, counts binary")
+    return sent.select("range", "tokens", "owners").groupBy("range").applyInArrow(go, "cls long, tokens binary, counts binary")
 
 
 def prefix_tokens(classes: DataFrame, shared: DataFrame) -> DataFrame:
@@ -368,9 +368,9 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         up = new
 
 
-def verified(sets: DataFrame) -> DataFrame:
-    """a, b (classes): edges that join the components of similar pairs, from rows of part, unit, side, cls, component, tokens.
-    Rows of side 0 are compared with all, those of side 1 not with each other; nor are rows of one component."""
+def verified(sets: DataFrame, deals: DataFrame) -> DataFrame:
+    """a, b (classes): edges that join the components of similar pairs, from rows of part, unit, side, cls, component and the
+    sets of the classes (cls, tokens). Rows of side 0 are compared with all, those of side 1 not with each other; nor are rows of one component."""
 
     def go(rows: pa.Table) -> pa.Table:
         unit, cls, side, component = (np.array(rows.column(c).to_pylist(), np.int64) for c in ("unit", "cls", "side", "component"))
@@ -390,7 +390,7 @@ def verified(sets: DataFrame) -> DataFrame:
             out_b.append(cls[mine[up[linked]]])
         return pa.table({"a": np.concatenate(out_a) if out_a else np.zeros(0, np.int64), "b": np.concatenate(out_b) if out_b else np.zeros(0, np.int64)})
 
-    return sets.groupBy("part").applyInArrow(go, "a long, b long")
+    return deals.hint("merge").join(sets, "cls").groupBy("part").applyInArrow(go, "a long, b long")
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -422,24 +422,32 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     null count as larger than all others and stay null where nothing else is reached; repeated rows link with each other;
     an empty table gives no rows. Shingles and sets are told apart by 64-bit hashes."""
     spread = 16 * docs.select("text").rdd.getNumPartitions()
-    sent = stored(sent_tokens(docs, common_tokens(docs), spread), "tokens")
-    rows = sent.where("range is null").select("doc_id", "digest", "cls", "n", "levels", "common")
+    spark = docs.sparkSession
+    path = stage_path(spark, "tokens")
+    sent = sent_tokens(docs, common_tokens(docs), spread).withColumn("kind", F.when(F.col("range").isNull(), "doc").otherwise("token"))
+    sent.write.partitionBy("kind").parquet(path)
+    whole = spark.read.schema(sent.schema).parquet(path)
+    rows = whole.where("kind = 'doc'").select("doc_id", "digest", "cls", "n", "levels", "common")
     classes = stored(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("levels").alias("levels"), F.first("common").alias("common")), "classes")
-    tokens = stored(prefix_tokens(classes, shared_tokens(sent)), "prefixes")
+    tokens = stored(prefix_tokens(classes, shared_tokens(whole.where("kind = 'token'"))), "prefixes")
+    # all that is needed of the tokens is in the prefixes now
+    delete(spark, f"{path}/kind=token")
+    rows = spark.read.schema(whole.schema).parquet(path).where("kind = 'doc'").select(rows.columns)
     low = tokens.groupBy("token").agg(F.min("cls").alias("unit"), F.count("*").alias("k")).where("k > 1")
     led = stored(tokens.join(low.select("token", "unit"), "token").select("unit", "cls").distinct(), "led")
+    sets = stored(class_sets(docs, classes.join(led.select("cls").distinct(), "cls", "left_semi").select("doc_id", "cls")), "sets")
     first = led.groupBy("cls").agg(F.min("unit").alias("unit")).withColumn("component", F.col("cls"))
-    found = stored(verified(class_sets(docs, dealt(first, classes))), "links")
+    found = stored(verified(sets, dealt(first, classes)), "links")
     joined = components(found, "joined")
     if large_units(first, classes):
         # blocks of large units have met in themselves alone: some members of all blocks meet next
         some = with_components(first, joined).where(F.pmod(F.xxhash64("cls", F.lit(1)), F.lit(16)) == 0)
-        found = stored(found.unionByName(verified(class_sets(docs, dealt(some, classes)))), "links")
+        found = stored(found.unionByName(verified(sets, dealt(some, classes))), "links")
         joined = components(found, "joined")
     now = stored(with_components(led, joined), "now")
     mixed = now.groupBy("unit").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("unit")
     again = now.join(mixed, "unit", "left_semi")
-    found = found.unionByName(verified(class_sets(docs, dealt(again, classes, apart=True))))
+    found = found.unionByName(verified(sets, dealt(again, classes, apart=True)))
     joined = components(found, "joined")
     ids = with_components(classes.select("cls", "doc_id"), joined)
     least = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -455,8 +463,8 @@ def with_components(rows: DataFrame, joined: DataFrame) -> DataFrame:
 
 
 def unit_sizes(units: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(units with doc_id and n of each class, blocks of each unit that has two classes or more)."""
-    members = units.join(classes.select("cls", "doc_id", "n"), "cls")
+    """(units with n of each class, blocks of each unit that has two classes or more)."""
+    members = units.join(classes.select("cls", "n"), "cls")
     sizes = members.groupBy("unit").agg(F.ceil(F.sum("n") * 8 / BLOCK).cast("long").alias("blocks"), F.count("*").alias("k"), F.sum(F.col("n") * 8).alias("bytes")).where("k > 1")
     return members, sizes
 
@@ -466,7 +474,7 @@ def large_units(units: DataFrame, classes: DataFrame) -> bool:
 
 
 def dealt(units: DataFrame, classes: DataFrame, apart: bool = False) -> DataFrame:
-    """doc_id, cls, component, unit, side, part: classes dealt to tasks by unit, those of large units by block.
+    """cls, component, unit, side, part: classes dealt to tasks by unit, those of large units by block.
 
     apart: a unit's largest component is side 1 and stays in its own block; the rest is side 0 and goes to every block, in
     pieces, so that all pairs between components meet and nothing else has to."""
@@ -496,7 +504,7 @@ def dealt(units: DataFrame, classes: DataFrame, apart: bool = False) -> DataFram
         members = members.withColumn("side", F.lit(0))
     unit = F.when((F.col("blocks") > 1) | (piece > 0), F.xxhash64("unit", "block", piece)).otherwise(F.col("unit"))
     members = members.withColumn("task", unit)
-    return members.select("doc_id", "cls", "component", F.col("task").alias("unit"), "side", F.pmod(F.xxhash64("task"), F.lit(parts)).alias("part"))
+    return members.select("cls", "component", F.col("task").alias("unit"), "side", F.pmod(F.xxhash64("task"), F.lit(parts)).alias("part"))
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
