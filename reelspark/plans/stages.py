@@ -49,11 +49,16 @@ def clear() -> None:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes a stage and reads it back, so that its lineage ends there and lost executors lose nothing."""
+    return stored_at(df, name)[0]
+
+
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The same with the stage's folder, for a stage that goes before the process ends."""
     spark, schema, path = df.sparkSession, df.schema, stage_path(df.sparkSession, name)
     df.write.parquet(path)
     del df
     release(spark)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(path), path
 
 
 def release(spark: SparkSession) -> None:
