@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from ..plans.stages import delete, stage_path, stored
+from ..plans.stages import delete, stage_path, stored, stored_at
 
-__all__ = ["ASCII_SPACE", "by_batch", "delete", "kasai", "mix64", "pieces", "stage_path", "stored", "suffix_ranks", "table"]
+__all__ = ["ASCII_SPACE", "by_batch", "delete", "kasai", "mix64", "pieces", "stage_path", "stored", "stored_at", "suffix_ranks", "table"]
 #: The characters that separate words: space, tab, newline, vertical tab, form feed, carriage return.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 MIX = np.uint64(0x9E3779B97F4A7C15)

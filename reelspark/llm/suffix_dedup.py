@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import by_batch, kasai, mix64, pieces, stored, suffix_ranks, table
+from .common import by_batch, delete, kasai, mix64, pieces, stored, stored_at, suffix_ranks, table
 
 ANCHOR = 32
 #: Bytes of text that are hashed at a time; longer texts are taken in overlapping parts of it.
@@ -37,6 +37,9 @@ POWERS: list[np.ndarray] = []
 RUNS = "doc_id long, digest long, anchor long, run long, first long, n int, times int"
 RANGES = "array<struct<at:int,n:int>>"
 RANGE_TYPE = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())]))
+#: Columns of what shards return.
+NAMES = ["anchor", "run", "ranges", "bucket", "shard", "prints", "runs", "places"]
+KINDS = (pa.int64(), pa.int64(), RANGE_TYPE, pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
 
 
 class Hashes:
@@ -177,6 +180,28 @@ def shard_repeats(contents: list[bytes], length: int) -> tuple[np.ndarray, np.nd
     return of[at], at - begin[of[at]], again[whole], at
 
 
+def may_repeat(contents: list[bytes], anchors: np.ndarray, length: int) -> np.ndarray:
+    """Which contents can share a string of ``length`` with another one of their anchor. The string holds the anchor, and half
+    of the rest lies before or after it; so the other content has the same anchor with the same half before, or after."""
+    half = (length - ANCHOR) // 2
+    size = np.array([len(c) for c in contents], np.int64)
+    begin = np.cumsum(size) - size
+    hashes = Hashes(np.frombuffer(b"".join(contents), np.uint8))
+    of = np.repeat(np.arange(len(contents)), size)
+    grams = hashes.all(ANCHOR)
+    hits = np.flatnonzero(grams == anchors.view(np.uint64)[of[: len(grams)]])
+    found, first = np.unique(of[hits], return_index=True)
+    keep = np.ones(len(contents), bool)
+    at, begin, stop = hits[first], begin[found], (begin + size)[found]
+    keep[found] = False
+    for low, high, whole in ((at - half, at + ANCHOR, at - half >= begin), (at, at + ANCHOR + half, at + ANCHOR + half <= stop)):
+        prints = hashes.of(np.where(whole, low, at), np.where(whole, high, at))
+        _, which = np.unique(prints, return_inverse=True)
+        times = np.bincount(which[whole], minlength=which.max(initial=-1) + 1)
+        keep[found] |= whole & (times[which] > 1)
+    return keep
+
+
 def ranges(places: np.ndarray) -> list[dict[str, int]]:
     places = np.unique(places)
     at = np.flatnonzero(np.r_[True, np.diff(places) > 1]) if len(places) else np.zeros(0, np.int64)
@@ -198,6 +223,11 @@ def repeats_in_shards(contents: DataFrame, length: int, buckets: int) -> DataFra
 
     def go(shard: pa.Table) -> pa.Table:
         rows = sorted(set(zip(*(shard.column(c).to_pylist() for c in ("anchor", "run", "split", "content")))))
+        # a split anchor's contents may have their like in another shard
+        keep = may_repeat([r[3] for r in rows], np.array([r[0] for r in rows], np.int64), length)
+        rows = [r for r, k in zip(rows, keep) if k or r[2]]
+        if not rows:
+            return pa.table([pa.array([], k) for k in KINDS], NAMES)
         of, places, again, at = shard_repeats([r[3] for r in rows], length)
         out = [(rows[i][0], rows[i][1], ranges(p), None, None, None, None, None) for i, p in by_content(of[again], places[again], np.arange(len(rows)))]
         split = np.array([r[2] for r in rows], bool)
@@ -220,9 +250,8 @@ def repeats_in_shards(contents: DataFrame, length: int, buckets: int) -> DataFra
             for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
                 both = np.stack([anchors[a:b], runs[a:b]], axis=1)
                 out.append((None, None, None, int(bucket[a]), shard.column("shard")[0].as_py(), prints[a:b].tobytes(), both.tobytes(), spots[a:b].tobytes()))
-        kinds = (pa.int64(), pa.int64(), RANGE_TYPE, pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-        columns = list(zip(*out)) or [[]] * len(kinds)
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], ["anchor", "run", "ranges", "bucket", "shard", "prints", "runs", "places"])
+        columns = list(zip(*out)) or [[]] * len(KINDS)
+        return pa.table([pa.array(c, k) for c, k in zip(columns, KINDS)], NAMES)
 
     return contents.groupBy("shard").applyInArrow(go, schema)
 
@@ -251,10 +280,11 @@ def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
     """doc_id, digest, spans (at, n: start and number of starts of strings that repeat) of all rows that have any."""
     runs = stored(runs_of(docs, length), "runs")
     kinds = runs.groupBy("anchor", "run", "n").agg(F.sum("times").alias("copies"), F.min(F.struct("doc_id", "digest", "first")).alias("of"))
-    kinds = stored(kinds, "kinds")
+    kinds, kinds_at = stored_at(kinds, "kinds")
     anchors = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max(F.col("copies")).alias("most"), F.min("copies").alias("least"))
     seen = kinds.join(anchors.where("kinds > 1 or most > 1"), "anchor")
-    seen = stored(seen, "seen")
+    seen, seen_at = stored_at(seen, "seen")
+    delete(docs.sparkSession, kinds_at)
     open_ = (F.col("kinds") > 1) & (F.col("least") == 1)
     total = seen.where(open_).agg(F.sum(F.col("n") + length).alias("bytes")).first()["bytes"] or 0
     shards = max(1, -(-total // SHARD))
@@ -263,7 +293,7 @@ def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
         F.col("of.doc_id").alias("doc_id"), F.col("of.digest").alias("digest"), F.col("of.first").alias("first"), "n", "anchor", "run", (F.col("kinds") > SPLIT).alias("split"),
         F.pmod(F.xxhash64("anchor", F.pmod(F.col("run"), parts)), F.lit(shards)).alias("shard"),
     )
-    found = stored(repeats_in_shards(contents_of(docs, wanted, length), length, buckets=max(1, shards)), "repeats")
+    found, found_at = stored_at(repeats_in_shards(contents_of(docs, wanted, length), length, buckets=max(1, shards)), "repeats")
     across = merged(found.where("bucket is not null"))
     ranges_ = found.where("bucket is null").select("anchor", "run", "ranges").unionByName(across)
     full = seen.where("copies > 1").select("anchor", "run", F.array(F.struct(F.lit(0).alias("at"), F.col("n").alias("n"))).alias("ranges"))
@@ -271,6 +301,8 @@ def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
     every = ranges_.unionByName(full).groupBy("anchor", "run").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
     # stored, so that the join below starts from plain exchanges and a run with very many copies can be split
     every = stored(every, "ranges")
+    delete(docs.sparkSession, seen_at)
+    delete(docs.sparkSession, found_at)
     stretch = F.array(F.struct(F.col("first").alias("at"), (F.col("n") * F.col("times")).alias("n")))
     spans = runs.join(every, ["anchor", "run"]).select(
         "doc_id", "digest", F.when(F.col("times") > 1, stretch).otherwise(F.transform("ranges", lambda r: F.struct((F.col("first") + r["at"]).alias("at"), r["n"].alias("n")))).alias("spans")
