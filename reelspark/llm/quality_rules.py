@@ -96,4 +96,26 @@ def quality_rules(docs: DataFrame, least: int = 8, fraction: float = 0.3, longes
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules(table(spark, sf_dir, "documents")).drop("longest_repeat")
+
+
+def _repeated(k: int) -> str:
+    """Starts of k-word windows that are in their document twice or more."""
+    return f"SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, hash(w[i:i + {k - 1}])) AS n FROM p WHERE i + {k - 1} <= len(w)) WHERE n > 1"
+
+
+# a word is in a repeat of 8 words or more where it is in a repeated window of 8, and a repeat of over 150 words has one of 151
+SQL = rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS MATERIALIZED (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+triples AS (SELECT r, count(DISTINCT i + j) AS n FROM ({_repeated(3)}), range(3) AS x(j) GROUP BY r),
+eights AS (SELECT r, count(DISTINCT i + j) AS n FROM ({_repeated(8)}), range(8) AS x(j) GROUP BY r),
+long AS (SELECT DISTINCT r FROM ({_repeated(151)})),
+lines AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r),
+facts AS (SELECT d.r, doc_id, len(w) AS n_words, coalesce(list_sum([length(x) FOR x IN w]), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  coalesce(lines.n, 0)::BIGINT AS n_dup_lines, coalesce(triples.n, 0)::BIGINT AS n_repeat_words, coalesce(eights.n, 0)::BIGINT AS n_covered_words, long.r IS NOT NULL AS too_long
+  FROM d LEFT JOIN triples USING (r) LEFT JOIN eights USING (r) LEFT JOIN long USING (r) LEFT JOIN lines USING (r)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM facts)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines, n_repeat_words, base_failed, n_covered_words,
+  NOT base_failed AND n_covered_words <= 0.3 * n_words AND NOT too_long AS kept FROM judged
+"""

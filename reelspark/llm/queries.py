@@ -19,6 +19,8 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op4_chat_format": chat_format.SQL,
+    "op5_quality_rules": quality_rules.SQL,
     "op6_ngram_join": ngram_join.SQL,
+    "op7_suffix_dedup": suffix_dedup.SQL,
     "op9_url_filter": url_filter.SQL,
 }
