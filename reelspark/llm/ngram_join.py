@@ -438,7 +438,8 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     sets = stored(class_sets(docs, classes.join(led.select("cls").distinct(), "cls", "left_semi").select("doc_id", "cls")), "sets")
     first = led.groupBy("cls").agg(F.min("unit").alias("unit")).withColumn("component", F.col("cls"))
     found = stored(verified(sets, dealt(first, classes)), "links")
-    joined = components(found, "joined")
+    # a class is in one unit so far, and a unit's edges lead to the smallest class of each component
+    joined = found.select(F.col("a").alias("node"), F.col("b").alias("root"))
     if large_units(first, classes):
         # blocks of large units have met in themselves alone: some members of all blocks meet next
         some = with_components(first, joined).where(F.pmod(F.xxhash64("cls", F.lit(1)), F.lit(16)) == 0)
