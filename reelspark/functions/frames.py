@@ -113,3 +113,16 @@ def size_text(n: Column) -> Column:
 def black_clip(start: Column, end: Column) -> Column:
     """Whether a first black stretch covers the head of a clip."""
     return F.coalesce((start < 0.1) & (end > 0.5), F.lit(False))
+
+
+#: Numbers of patches that an encoder takes.
+PATCHES = (128, 256, 576, 784, 1024)
+
+
+def patch_bucket(width: Column, height: Column, patch: int = 16) -> Column:
+    """The smallest number of PATCHES that holds a picture's patches, the largest where none does."""
+    n = F.floor(width / patch) * F.floor(height / patch)
+    out = F.lit(PATCHES[-1])
+    for size in reversed(PATCHES[:-1]):
+        out = F.when(n <= size, size).otherwise(out)
+    return out

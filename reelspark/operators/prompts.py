@@ -16,11 +16,7 @@ SCHEMA = "prompt_idx int, category string, tpl_no int, prompt string, prompt_cn
 def category_labels(labels: DataFrame) -> DataFrame:
     """Labels of a category over its subcategories: category, label_cn, label_en, ord. A label that two subcategories have
     stays in the first place, with the last translation."""
-    w = Window.partitionBy("category").orderBy("sub_ord", "ord")
-    subs = labels.groupBy("category", "subcategory").agg(F.min("sub_ord").alias("sub_ord")) if "sub_ord" in labels.columns else None
-    rows = labels if subs is not None else labels.withColumn("sub_ord", F.dense_rank().over(Window.partitionBy("category").orderBy("subcategory")) - 1)
-    rows = rows.withColumn("place", F.row_number().over(w))
-    return rows.groupBy("category", "label_cn").agg(F.max_by("label_en", "place").alias("label_en"), F.min("place").alias("ord"))
+    return labels.groupBy("category", "label_cn").agg(F.max_by("label_en", "ord").alias("label_en"), F.min("ord").alias("ord"))
 
 
 def resolve(wanted: DataFrame, index: DataFrame) -> DataFrame:
@@ -100,7 +96,10 @@ def consistency(required: DataFrame, tree: DataFrame, templates: DataFrame) -> D
     return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("problem"), "category") for name, df in parts.items()])
 
 
-def verification_text(labels: dict[str, F.Column], texts: dict[str, str], instruction: str) -> F.Column:
-    """The question for a scene: the instruction and, by category, its text with the label; categories without a label go."""
-    lines = [F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(f"{c}: "), F.replace(F.lit(texts[c]), F.lit("{val}"), v))) for c, v in labels.items() if c in texts]
-    return F.concat_ws("\n", F.lit(instruction), *lines)
+def verification_text(labels: dict[str, F.Column], texts: dict[str, str], instruction: str, answer: str = '"yes/no"', form: str = "Format: ") -> F.Column:
+    """The question for a scene: the instruction, a line for each label by its category's text, and the form of the answer.
+    Categories without a label have no line; those without a text of their own have ``- category: label``."""
+    asked = {c: F.when(F.coalesce(v, F.lit("")) != "", v) for c, v in labels.items()}
+    lines = [F.replace(F.replace(F.lit(texts.get(c, "- {cat}: {val}")), F.lit("{cat}"), F.lit(c)), F.lit("{val}"), v) for c, v in asked.items()]
+    pairs = F.concat_ws(", ", *[F.when(v.isNotNull(), f'"{c}": {answer}') for c, v in asked.items()])
+    return F.concat_ws("\n", F.lit(instruction), *lines, F.concat(F.lit(form + "{"), pairs, F.lit("}")))

@@ -18,14 +18,12 @@ PROMPT_BYTES = 128 << 20
 
 
 def query_scores(frames: DataFrame, query: DataFrame, scale: float = 100.0, threshold: float | None = None, scene: Sequence[str] = SCENE) -> DataFrame:
-    """Scenes with similarity, the largest product of ``query`` (one row: qvec) with a vector of the scene, times ``scale``.
+    """Scenes with similarity, the largest product of ``query`` (a row: qvec) with a vector of the scene, times ``scale``.
 
-    Vectors of another length than the query's are left out. A threshold drops vectors before they are grouped, which
-    changes nothing for a largest value."""
-    scored = frames.crossJoin(F.broadcast(query)).withColumn("sim", V.dot("vec", "qvec") * scale).where("sim is not null")
-    if threshold is not None:
-        scored = scored.where(F.col("sim") >= threshold)
-    return scored.groupBy(*scene).agg(F.max("sim").alias("similarity"))
+    Vectors of another length than the query's are left out. A threshold drops vectors in the task that multiplies them,
+    which changes nothing for a largest value."""
+    one = query.select(F.lit(0).alias("prompt_idx"), F.lit("query").alias("category"), F.col("qvec").alias("vec"))
+    return prompt_scores(frames, one, scale, None, threshold, scene).groupBy(*scene).agg(F.max("sim").alias("similarity"))
 
 
 def prompt_scores(frames: DataFrame, prompts: DataFrame, scale: float = 100.0, per_category: int | None = None, threshold: float | None = None, scene: Sequence[str] = SCENE) -> DataFrame:
@@ -81,7 +79,8 @@ def candidates(frames: DataFrame, prompts: DataFrame, k: int = 50, scale: float
     """The best k prompts of each scene and category: scene, category, prompt_idx, frame_idx, sim. A prompt counts with its
     best frame, of equals the first; prompts of equal value go by number. The result does not depend on how prompts are
     dealt into passes."""
-    scored = prompt_scores(frames, prompts, scale, k, threshold, scene)
+    # dealt by scene and category once: grouping, ranking and what ranks the result again need no further exchange
+    scored = prompt_scores(frames, prompts, scale, k, threshold, scene).repartition(*scene, "category")
     best = scored.groupBy(*scene, "category", "prompt_idx").agg(F.max("sim").alias("sim"), F.max_by("frame_idx", F.struct("sim", -F.col("frame_idx"))).alias("frame_idx"))
     w = Window.partitionBy(*scene, "category").orderBy(F.desc("sim"), "prompt_idx")
     return best.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).drop("rn")
@@ -165,3 +164,10 @@ def checked_head(rows: DataFrame, scores: DataFrame, k: int, threshold: float, k
     head = rows.orderBy(F.desc("similarity"), *key).limit(k)
     both = head.join(scores, list(key), "left").withColumn("score", V.unit_score(F.col("score")))
     return both.where(F.col("score").isNull() | (F.col("score") >= threshold)).withColumn("similarity", F.coalesce(F.col("similarity") + 50 * F.col("score"), "similarity"))
+
+
+def as_json(rows: DataFrame, facts: dict[str, str] | None = None) -> DataFrame:
+    """One row ``json``: matches by similarity and the given facts. It is an answer to a user, so rows should be limited before."""
+    order = F.struct(-F.col("similarity"), "video_path", "start_frame")
+    listed = F.array_sort(F.collect_list(F.struct(order.alias("k"), F.struct(*rows.columns).alias("v"))))
+    return rows.agg(F.to_json(F.struct(F.transform(listed, lambda x: x["v"]).alias("matches"), *[F.lit(v).alias(k) for k, v in (facts or {}).items()])).alias("json"))

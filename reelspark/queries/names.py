@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import frames as X
 from ..functions import names as N
 from ..operators import clips as C
 from ..operators import prompts as P
@@ -31,7 +32,7 @@ def query(sql: str | None = None):
 FORMS = [
     ("'[Judas] Blue ' || w || ' - S' || a || 'E' || b || 'v2'", "'S' || a2 || 'E' || b2", "'Blue ' || w"),
     ("w || ' Season ' || a || ' E' || b", "'S' || a2 || 'E' || b2", "w"),
-    ("w || ' - ' || b2", "CASE WHEN right(w, 1) IN ('e') THEN 'E' || b2 ELSE 'E' || b2 END", "w"),
+    ("w || ' - ' || b2", "'E' || b2", "w"),
     ("w || ' NCOP' || a", "'NCOP' || a", "w"),
     ("w || ' Opening Theme'", "'OP'", "w"),
     ("w || ' S' || a || 'ED'", "'S' || a2 || 'ED'", "w || ' S' || a || 'ED'"),
@@ -208,8 +209,14 @@ def category_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.read(spark, sf_dir, "nation").select("n_nationkey", N.first_match(F.col("n_name"), ["AFRICA", "NATION_1", "NATION_2", "N"]).alias("found"))
 
 
-@query("""SELECT n_nationkey, 'look:' || chr(10) || 'who: a ' || n_name || CASE WHEN n_nationkey % 2 = 0 THEN chr(10) || 'where: in ' || n_regionkey ELSE '' END AS question FROM nation""")
+@query("""SELECT n_nationkey, 'look:' || chr(10) || 'a ' || n_name || CASE WHEN n_nationkey % 2 = 0 THEN chr(10) || '- where: ' || n_regionkey ELSE '' END || chr(10)
+  || 'Format: {"who": "yes/no"' || CASE WHEN n_nationkey % 2 = 0 THEN ', "where": "yes/no"' ELSE '' END || '}' AS question FROM nation""")
 def verification_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = F.when(F.col("n_nationkey") % 2 == 0, F.col("n_regionkey").cast("string"))
-    text = P.verification_text({"who": F.col("n_name"), "where": where}, {"who": "a {val}", "where": "in {val}"}, "look:")
+    text = P.verification_text({"who": F.col("n_name"), "where": where}, {"who": "a {val}"}, "look:")
     return T.read(spark, sf_dir, "nation").select("n_nationkey", text.alias("question"))
+
+
+@query("SELECT p_partkey, CASE WHEN n <= 128 THEN 128 WHEN n <= 256 THEN 256 WHEN n <= 576 THEN 576 WHEN n <= 784 THEN 784 ELSE 1024 END::INT AS patches FROM (SELECT p_partkey, (p_size * 20 // 16) * (p_partkey % 700 // 16) AS n FROM part)")
+def patch_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.read(spark, sf_dir, "part").select("p_partkey", X.patch_bucket(F.col("p_size") * 20, F.col("p_partkey") % 700).alias("patches"))

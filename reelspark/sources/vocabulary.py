@@ -6,7 +6,7 @@ import hashlib
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Keys of the vocabulary file.
@@ -37,7 +37,8 @@ class Vocabulary:
             flat = {k: v for k, v in subs.items() if not isinstance(v, dict) and not k.startswith("_")}
             nested = {k: v for k, v in subs.items() if isinstance(v, dict) and not k.startswith("_")}
             for sub, entries in ({category: flat} | nested if flat else nested).items():
-                labels += [(category, sub, cn, en, i) for i, (cn, en) in enumerate(entries.items())]
+                before = sum(r[0] == category for r in labels)
+                labels += [(category, sub, cn, en, before + i) for i, (cn, en) in enumerate(entries.items())]
         for category, rows in tree.get(TEMPLATES, {}).items():
             if not category.startswith("_"):
                 pairs = [pair for row in rows for pair in row.items()]
@@ -71,8 +72,10 @@ def labels_from_json(rows: DataFrame, column: str = "json") -> DataFrame:
     """LABEL_SCHEMA from a column of JSON trees (category -> subcategory -> label -> translation), without the driver."""
     tree = F.from_json(F.col(column), "map<string,map<string,map<string,string>>>")
     one = rows.select(F.explode(tree).alias("category", "subs")).where(~F.col("category").startswith("_"))
-    two = one.select("category", F.explode("subs").alias("subcategory", "entries")).where(~F.col("subcategory").startswith("_"))
-    return two.select("category", "subcategory", F.posexplode("entries").alias("ord", "label_cn", "label_en")).select("category", "subcategory", "label_cn", "label_en", "ord")
+    two = one.select("category", F.posexplode("subs").alias("sub", "subcategory", "entries")).where(~F.col("subcategory").startswith("_"))
+    three = two.select("category", "sub", "subcategory", F.posexplode("entries").alias("place", "label_cn", "label_en"))
+    w = Window.partitionBy("category").orderBy("sub", "place")
+    return three.select("category", "subcategory", "label_cn", "label_en", (F.row_number().over(w) - 1).alias("ord"))
 
 
 def cache_hash(text: str, language: str, version: str = "prompt_vector_cache_v7") -> str:
@@ -102,6 +105,11 @@ def prompts_by_category(prompts: DataFrame) -> DataFrame:
     return prompts.groupBy(F.coalesce("category", F.lit("?")).alias("category")).agg(F.array_sort(F.collect_list("prompt_idx")).alias("prompts"), F.count("*").alias("n"))
 
 
+def prompt_info(prompts: DataFrame) -> DataFrame:
+    """One row: number of prompts, of categories, and dimension."""
+    return prompts.agg(F.count("*").alias("n_prompts"), F.count_distinct("category").alias("n_categories"), F.max(F.size("vec")).alias("dim"))
+
+
 def prompt_batches(prompts: DataFrame, size: int) -> DataFrame:
     """Prompts with batch number, first and last row of it and number of batches, by ``prompt_idx``."""
     n = prompts.agg((F.max("prompt_idx") + 1).alias("total"))

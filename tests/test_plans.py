@@ -34,7 +34,8 @@ def test_vocabulary(spark):
     counts = {r.category: r.n_prompts for r in prompts.prompt_counts(prompts.prompt_table(spark, v, "zh")).collect()}
     assert counts == {"主体": 3, "动作": 6, "情绪": 1}
     tree = spark.createDataFrame([(json.dumps(TREE["标签"] | {"_note": {}}, ensure_ascii=False),)], "json string")
-    assert {tuple(r)[:4] for r in vocabulary.labels_from_json(tree).collect()} == {r[:4] for r in v.labels}
+    assert {tuple(r) for r in vocabulary.labels_from_json(tree).collect()} == set(v.labels)
+    assert {(r.category, r.label_cn): r.ord for r in prompts.category_labels(v.label_rows(spark)).collect()}["动作", "倒"] == 2
     with pytest.raises(ValueError):
         vocabulary.Vocabulary.parse("{}")
 
@@ -43,6 +44,7 @@ def test_prompt_cache(spark, tmp_path):
     rows = spark.createDataFrame([(i, "c", [1.0, 0.0]) for i in range(5)], "prompt_idx int, category string, vec array<float>")
     stamp = vocabulary.cache_hash("text", "en")
     assert len(stamp) == 8 and stamp != vocabulary.cache_hash("text", "zh")
+    assert tuple(vocabulary.prompt_info(rows).first()) == (5, 1, 2)
     assert vocabulary.write_prompts(rows, str(tmp_path), stamp) == 5
     assert vocabulary.read_prompts(spark, str(tmp_path), stamp, 5).count() == 5
     assert vocabulary.read_prompts(spark, str(tmp_path), "other") is None and vocabulary.read_prompts(spark, str(tmp_path), stamp, 6) is None
@@ -178,6 +180,8 @@ def test_text_flow_dedups_on_original_frames(spark):
     rows = spark.createDataFrame([("s", "a.mp4", 0, 10, [[1.0, 0.0]]), ("s", "b.mp4", 0, 10, [[1.0, 0.0]]), ("s", "c.mp4", 0, 10, [[0.6, 0.8]]), ("s", "d.mp4", 0, 10, [[0.0, 1.0]])], "source_index string, video_path string, start_frame int, end_frame int, features array<array<double>>")
     query = spark.createDataFrame([([1.0, 0.0],)], "qvec array<double>")
     got = retrieval.text_search(rows, query, Settings(threshold=21)).collect()
+    answer = json.loads(search.as_json(retrieval.text_search(rows, query, Settings(threshold=21)), {"model_used": "clip"}).first().json)
+    assert [m["video_path"] for m in answer["matches"]] == ["a.mp4", "c.mp4"] and answer["model_used"] == "clip"
     assert [(r.video_path, r.start_frame, r.end_frame, r.similarity) for r in got] == [("a.mp4", 0, 12, 100.0), ("c.mp4", 0, 12, 60.0)]
 
 
@@ -215,3 +219,9 @@ def test_paths(tmp_path):
     assert paths.resolve('"a/b"', str(tmp_path)) == str(tmp_path / "a" / "b")
     assert paths.resolve("/x/../y", str(tmp_path)) == "/y" and paths.resolve("", str(tmp_path)) == str(tmp_path)
     assert paths.resolve("hdfs://h/a", str(tmp_path)) == "hdfs://h/a"
+
+
+def test_frame_requests(spark):
+    rows = spark.createDataFrame([("a", 0, 10, 0), ("a", 0, 10, 1), ("a", 0, 10, 1), ("a", 0, 10, 2), ("b", 4, 9, 7)], "video_path string, start_frame int, end_frame int, frame_idx int")
+    cached = spark.createDataFrame([("a", 10)], "video_path string, frame_no long")
+    assert sorted(map(tuple, export.frame_requests(rows, cached).collect())) == [("a", 0), ("a", 5), ("b", 6)]
