@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_batch, pieces, table
+from .common import by_batch, pieces, stored, table
 from .quality_classifier import labelled_sample
 
 #: Labelled rows in the index, at most; the ones with the smallest hashes of doc_id.
@@ -59,21 +59,23 @@ class Terms(dict):
         return out
 
 
-def select_terms(counts: list[set[str]], y: np.ndarray, least: int = 8, z: float = 4.0, limit: int = TERMS) -> list[str]:
-    """Terms that separate the examples: in ``least`` of them or more, with a two-sample z of ``z`` or more, largest first."""
-    ones, zeros = Counter(), Counter()
-    for c, label in zip(counts, y):
-        (ones if label else zeros).update(c)
-    n1, n0 = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
-    found = []
-    for term, a in ones.items():
-        b = zeros[term]
-        if a + b >= least:
-            p = (a + b) / (n1 + n0)
-            value = (a / n1 - b / n0) / np.sqrt(max(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-            if value >= z:
-                found.append((-value, term))
-    return [t for _, t in sorted(found)[:limit]]
+def select_terms(sample: DataFrame, least: int = 8, z: float = 4.0, limit: int = TERMS) -> list[str]:
+    """Terms that separate the examples (text, y): in ``least`` of them or more, with a two-sample z of ``z`` or more; the
+    largest ``limit``, ties by name. Terms are counted where the examples lie, and only those chosen reach the driver."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ones, zeros = Counter(), Counter()
+        for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            (ones if y else zeros).update({t for w in set((text or "").split()) for t in word_terms(w)})
+        terms = sorted(ones.keys() | zeros.keys())
+        return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([ones[t] for t in terms], pa.int64()), pa.array([zeros[t] for t in terms], pa.int64())], ["term", "a", "b"])
+
+    total = sample.agg(F.coalesce(F.sum("y"), F.lit(0)).alias("n1"), F.count("*").alias("n")).first()
+    n1, n0 = max(1, int(total["n1"])), max(1, int(total["n"] - total["n1"]))
+    counts = by_batch(sample.select("text", "y"), run, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") + F.col("b") >= least)
+    p = (F.col("a") + F.col("b")) / (n1 + n0)
+    value = (F.col("a") / n1 - F.col("b") / n0) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-12)) * (1 / n1 + 1 / n0))
+    return [r["term"] for r in counts.withColumn("z", value).where(F.col("z") >= z).orderBy(F.desc("z"), "term").limit(limit).select("term").collect()]
 
 
 class BlockMaxIndex:
@@ -199,16 +201,21 @@ def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[np.nda
 
 def fit_index(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = EXAMPLES, k: int = 15) -> tuple[list[str], BlockMaxIndex, list[int]]:
     """(vocabulary, calibrated index, doc_id of each place) from at most ``examples`` labelled rows; statistics of terms cover all documents."""
-    rows = labelled_sample(docs, labels, label, examples).select("doc_id", "text", "y").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    y = np.array([r["y"] for r in rows], float)
-    bags = [set(t for w in set((r["text"] or "").split()) for t in word_terms(w)) for r in rows]
-    vocabulary = select_terms(bags, y)
+    sample = stored(labelled_sample(docs, labels, label, examples).select("doc_id", "text", "y"), "examples")
+    vocabulary = select_terms(sample)
     df, n = document_frequencies(docs, vocabulary)
     idf = np.log((n + 1) / (df + 0.5))
-    terms = Terms(vocabulary)
-    vectors = [terms.count(r["text"]) for r in rows]
-    index = BlockMaxIndex(vectors, y, np.maximum(idf, 0.01), k=k)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        terms = Terms(vocabulary)
+        counts = [sorted(terms.count(t).items()) for t in batch.column(1).to_pylist()]
+        pairs = [pa.array([[x[i] for x in c] for c in counts], pa.list_(pa.int32())) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *pairs], ["doc_id", "y", "terms", "counts"])
+
+    rows = by_batch(sample, run, "doc_id long, y int, terms array<int>, counts array<int>").collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["terms"], r["counts"]))
+    vectors = [dict(zip(r["terms"], r["counts"])) for r in rows]
+    index = BlockMaxIndex(vectors, np.array([r["y"] for r in rows], float), np.maximum(idf, 0.01), k=k)
     index.calibrate(vectors)
     return vocabulary, index, [rows[i]["doc_id"] for i in index.order]
 
