@@ -16,15 +16,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Folders of stages that this process wrote; they go when it ends.
 MADE: list[str] = []
+#: The temporary folder of this process, if it needed one.
+OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset, as in tests, a temporary folder."""
+    """``spark.checkpoint.dir`` of the session; where it is unset, as in tests, a temporary folder of this process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="reelspark-")
-        MADE.append(found)
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not OWN:
+            OWN.append(tempfile.mkdtemp(prefix="reelspark-"))
+            MADE.append(OWN[0])
+        found = OWN[0]
     return found.rstrip("/")
 
 
@@ -45,6 +48,7 @@ def clear() -> None:
         elif session is not None:
             delete(session, path)
     MADE.clear()
+    OWN.clear()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

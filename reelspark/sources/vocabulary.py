@@ -78,8 +78,8 @@ def labels_from_json(rows: DataFrame, column: str = "json") -> DataFrame:
     return three.select("category", "subcategory", "label_cn", "label_en", (F.row_number().over(w) - 1).alias("ord"))
 
 
-def cache_hash(text: str, language: str, version: str = "prompt_vector_cache_v7") -> str:
-    """Eight hex digits that a prompt table was made from this vocabulary and language."""
+def cache_hash(text: str, language: str, version: str = "prompts-1") -> str:
+    """Eight hex digits that say from which vocabulary and language a prompt table was made."""
     return hashlib.md5(f"{version}\n{text}\n{language}".encode()).hexdigest()[:8]
 
 

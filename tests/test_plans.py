@@ -195,7 +195,7 @@ def test_intersection(spark):
     assert refine.merge_maps(maps, ["k"], "m", ["o"], first=False).first().m == {"a": "y", "b": "z"}
 
 
-def test_reference_modes(spark):
+def test_limit_modes(spark):
     rows = spark.createDataFrame([("s", f"v{i % 2}", i, i + 1, "A", float(i)) for i in range(6)], "source_index string, video_path string, start_frame int, end_frame int, category string, similarity double")
     assert [search.grouped_top_k(rows, 2, m).count() for m in (-1, 0, 1, 7)] == [4, 2, 2, 2] and search.grouped_top_k(rows, None).count() == 6
 
@@ -225,3 +225,21 @@ def test_frame_requests(spark):
     rows = spark.createDataFrame([("a", 0, 10, 0), ("a", 0, 10, 1), ("a", 0, 10, 1), ("a", 0, 10, 2), ("b", 4, 9, 7)], "video_path string, start_frame int, end_frame int, frame_idx int")
     cached = spark.createDataFrame([("a", 10)], "video_path string, frame_no long")
     assert sorted(map(tuple, export.frame_requests(rows, cached).collect())) == [("a", 0), ("a", 5), ("b", 6)]
+
+
+def test_shared_folder(spark, monkeypatch):
+    class Conf:
+        def __init__(self, value):
+            self.value = value
+
+        def get(self, key, default):
+            return self.value or default
+
+    class Session:
+        conf = Conf("hdfs://h/shared/")
+
+    assert stages.shared_dir(Session) == "hdfs://h/shared"
+    Session.conf = Conf(None)
+    monkeypatch.setattr(stages, "OWN", [])
+    first = stages.shared_dir(Session)
+    assert first == stages.shared_dir(Session) and "reelspark-" in first
