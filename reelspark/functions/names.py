@@ -346,8 +346,3 @@ def first_match(text: Column, candidates: list[str]) -> Column:
     text = F.coalesce(text, F.lit(""))
     fits = F.filter(F.array(*map(F.lit, candidates)), lambda c: text.contains(c) | c.contains(text))
     return F.try_element_at(fits, F.lit(1))
-
-
-def merged_name(labels: dict[str, Column]) -> Column:
-    """Non-empty parts joined by ``_``."""
-    return F.array_join(F.filter(F.array(*labels.values()), lambda v: v.isNotNull() & (v != "")), "_")
