@@ -81,7 +81,7 @@ def suffix_ranks(first: np.ndarray, end: np.ndarray, have: int) -> tuple[np.ndar
     return order, rank
 
 
-def kasai(symbols: np.ndarray, order: np.ndarray, rank: np.ndarray, end: np.ndarray, cap: int = 1 << 30, lanes: int = 4096, wide: np.ndarray | None = None) -> np.ndarray:
+def kasai(symbols: np.ndarray, order: np.ndarray, end: np.ndarray, cap: int = 1 << 30, lanes: int = 4096, wide: np.ndarray | None = None) -> np.ndarray:
     """Common prefix of each suffix with the one before it in suffix order, by Kasai's scan in text order.
 
     The scan runs in lanes side by side: each lane walks its own stretch of the text and carries the last length

@@ -117,7 +117,7 @@ class WindowIndex:
             at += ((self.bits[r][step // 64][symbol] >> np.uint64(step % 64)) & np.uint64(1)).astype(np.int64)
         return keys
 
-    def windows(self, ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    def windows(self, ids: np.ndarray) -> np.ndarray:
         """Starts of all windows that can be near an item. An item of n words with k edits leaves one of k + 1 equal
         pieces of it whole, so a window without any such piece cannot match; the others stay, wherever the piece lies."""
         hit = np.zeros(len(ids), bool)
@@ -147,7 +147,7 @@ class WindowIndex:
         ends = np.cumsum([len(x) + 1 for x in rows])
         ids = np.array([w for x in rows for w in (*x, PAD)], np.int64)
         doc = np.repeat(np.arange(len(rows)), [len(x) + 1 for x in rows])
-        starts = self.windows(ids, doc)
+        starts = self.windows(ids)
         if not len(starts):
             return []
         stop = ends[doc[starts]] - 1

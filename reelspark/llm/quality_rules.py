@@ -21,8 +21,8 @@ def repeat_lengths(ids: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.nd
 
     ids: word ids; first: rank of (document, word), so that suffixes of different documents never tie; end: index of
     the document's terminator. It is the larger of the common prefixes with both neighbours in suffix order."""
-    order, rank = suffix_ranks(first, end, 1)
-    ahead = kasai(ids, order, rank, end)
+    order, _ = suffix_ranks(first, end, 1)
+    ahead = kasai(ids, order, end)
     best = ahead.copy()
     by_rank = ahead[order]
     best[order[:-1]] = np.maximum(best[order[:-1]], by_rank[1:])

@@ -171,9 +171,9 @@ def shard_repeats(contents: list[bytes], length: int) -> tuple[np.ndarray, np.nd
     for i in range(7):
         first[: len(buffer) - i] |= symbols[i:] << (9 * (6 - i))
     first[padding] = -1 - place[padding]
-    order, rank = suffix_ranks(first, np.where(padding, place, end), 7)
+    order, _ = suffix_ranks(first, np.where(padding, place, end), 7)
     wide = np.lib.stride_tricks.sliding_window_view(np.r_[buffer, np.zeros(7, np.uint8)], 8).copy().view("<u8").ravel()
-    ahead = kasai(buffer, order, rank, np.where(padding, place, end), cap=length, wide=wide)[order]
+    ahead = kasai(buffer, order, np.where(padding, place, end), cap=length, wide=wide)[order]
     again = (ahead >= length) | (np.r_[ahead[1:], 0] >= length)
     whole = end[order] - order >= length
     at = order[whole]
