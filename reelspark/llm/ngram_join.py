@@ -480,7 +480,9 @@ def dealt(units: DataFrame, classes: DataFrame, apart: bool = False) -> DataFram
     apart: a unit's largest component is side 1 and stays in its own block; the rest is side 0 and goes to every block, in
     pieces, so that all pairs between components meet and nothing else has to."""
     members, sizes = unit_sizes(units, classes)
-    members = members.join(sizes.select("unit", "blocks"), "unit").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    # stored before it is grouped again: the join then stands between plain exchanges, and a unit with very many classes is split
+    members = stored(members.join(sizes.select("unit", "blocks"), "unit"), "members")
+    members = members.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
     total = sizes.agg(F.sum("bytes")).first()[0] or 0
     parts = max(1, math.ceil(total / (2 << 20)))
     piece = F.lit(0).cast("long")
