@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from array import array
 from collections import Counter, OrderedDict
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,12 +17,17 @@ from .quality_classifier import labelled_sample
 
 #: Labelled rows in the index, at most; the ones with the smallest hashes of doc_id.
 EXAMPLES = 8_000
-#: Terms of the index, at most.
-TERMS = 1_000
 STRIP = ".,;:!?\"'()[]#*$%&|<>"
 #: Words whose terms and query vectors whose answers a worker keeps; beyond it starts anew.
 KEPT = 300_000
 BIAS = 3.0
+#: Blocks that a query opens one by one, before it adds up the postings of all that are left.
+OPENED = 8
+#: A term's lift is shrunk towards 1 by so many examples at the base rate.
+SHRINK = 8.0
+
+#: A text's terms in rising order and how often each is in it.
+Vector = tuple[np.ndarray, np.ndarray]
 
 
 def word_terms(word: str) -> tuple[str, ...]:
@@ -29,116 +37,154 @@ def word_terms(word: str) -> tuple[str, ...]:
 
 
 class Terms(dict):
-    """Word -> positions of its terms in the vocabulary, found once for each word; -1 stands for none."""
+    """Word -> number of its pair of terms in the vocabulary, found once for each word; -1 stands for a term that is not in it."""
 
     def __init__(self, vocabulary: list[str]):
         self.at = {t: i for i, t in enumerate(vocabulary)}
-        self.sets: list[tuple[int, ...]] = []
-        self.known: dict[tuple[int, ...], int] = {}
+        self.size = len(vocabulary)
+        self.pairs = array("i", (-1, -1))
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > KEPT:
-            self.clear()
-        found = tuple(self.at[t] for t in word_terms(word.decode(errors="replace")) if t in self.at)
-        code = -1
+        found = [self.at[t] for t in word_terms(word.decode(errors="replace")) if t in self.at]
+        self[word] = code = len(self.pairs) // 2 if found else 0
         if found:
-            code = self.known.setdefault(found, len(self.sets))
-            if code == len(self.sets):
-                self.sets.append(found)
-        self[word] = code
+            self.pairs.extend((found + [-1])[:2])
         return code
 
-    def count(self, text: str | None) -> dict[int, int]:
-        """Term positions and how often each is in the whole text."""
-        out: Counter[int] = Counter()
-        codes = Counter(map(self.__getitem__, (text or "").encode().split()))
-        codes.pop(-1, None)
-        for code, n in codes.items():
-            for t in self.sets[code]:
-                out[t] += n
-        return out
+    def count_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the text, position of the term, how often it is in the whole text), sorted; texts without terms have no row."""
+        if len(self) > KEPT:
+            self.clear()
+            self.pairs = array("i", (-1, -1))
+        words = [Counter((t or "").encode().split()) for t in texts]
+        sizes = [len(x) for x in words]
+        codes = np.fromiter((c for x in words for c in map(self.__getitem__, x)), np.int64, sum(sizes))
+        often = np.fromiter((n for x in words for n in x.values()), np.int64, sum(sizes))
+        terms = np.array(self.pairs, np.int64).reshape(-1, 2)[codes]
+        real = terms >= 0
+        key = (np.repeat(np.arange(len(texts)) * max(1, self.size), sizes)[:, None] + terms)[real]
+        by = np.argsort(key)
+        key, often = key[by], np.repeat(often, 2).reshape(-1, 2)[real][by]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        key, n = key[first], np.add.reduceat(often, first) if len(first) else first
+        return key // max(1, self.size), key % max(1, self.size), n
+
+    def vectors(self, texts: list[str | None]) -> list[Vector]:
+        place, term, n = self.count_all(texts)
+        cuts = np.searchsorted(place, np.arange(len(texts) + 1)).tolist()
+        term, n = term.astype(np.int32), n.astype(np.int32)
+        return [(term[a:b], n[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+
+def terms_of(sample: DataFrame) -> list[str]:
+    """All terms of the examples' texts, sorted."""
 
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words = {w for text in batch.column(0).to_pylist() for w in (text or "").encode().split()}
+        return pa.RecordBatch.from_arrays([pa.array(sorted({t for w in words for t in word_terms(w.decode(errors="replace"))}), pa.string())], ["term"])
 
-def select_terms(sample: DataFrame, least: int = 8, z: float = 4.0, limit: int = TERMS) -> list[str]:
-    """Terms that separate the examples (text, y): in ``least`` of them or more, with a two-sample z of ``z`` or more; the
-    largest ``limit``, ties by name. Terms are counted where the examples lie, and only those chosen reach the driver."""
+    return sorted(by_batch(sample.select("text"), run, "term string").distinct().toArrow().column(0).to_pylist())
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ones, zeros = Counter(), Counter()
-        for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            (ones if y else zeros).update({t for w in set((text or "").split()) for t in word_terms(w)})
-        terms = sorted(ones.keys() | zeros.keys())
-        return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([ones[t] for t in terms], pa.int64()), pa.array([zeros[t] for t in terms], pa.int64())], ["term", "a", "b"])
 
-    total = sample.agg(F.coalesce(F.sum("y"), F.lit(0)).alias("n1"), F.count("*").alias("n")).first()
-    n1, n0 = max(1, int(total["n1"])), max(1, int(total["n"] - total["n1"]))
-    counts = by_batch(sample.select("text", "y"), run, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") + F.col("b") >= least)
-    p = (F.col("a") + F.col("b")) / (n1 + n0)
-    value = (F.col("a") / n1 - F.col("b") / n0) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-12)) * (1 / n1 + 1 / n0))
-    return [r["term"] for r in counts.withColumn("z", value).where(F.col("z") >= z).orderBy(F.desc("z"), "term").limit(limit).select("term").collect()]
+def lifts(vectors: list[Vector], y: np.ndarray, terms: int) -> np.ndarray:
+    """How much more often than at the base rate an example with the term has label 1, shrunk by ``SHRINK``; no term gets 0."""
+    if not 0 < y.sum() < len(y):
+        return np.ones(terms)
+    ones, every = np.zeros(terms), np.zeros(terms)
+    for (t, _), label in zip(vectors, y.tolist()):
+        every[t] += 1
+        ones[t] += label
+    base = y.sum() / len(y)
+    return (ones + SHRINK * base) / (every + SHRINK) / base
 
 
 class BlockMaxIndex:
-    """Postings of the examples' unit vectors by term, in blocks of examples, with each term's largest weight in each block.
+    """Postings of the examples' unit vectors by term; of frequent terms in blocks of examples, with each term's largest
+    weight in each block.
 
-    ``nearest`` is exact: blocks are opened by falling upper bound, and none stays closed whose bound reaches the k-th
-    best similarity so far. All vectors share one constant component, so that few weak terms are not a full match."""
+    ``nearest`` is exact: postings of rare terms are added up in full, which with the frequent terms' largest weights
+    bounds each block; blocks are opened by falling bound, and none stays closed whose bound reaches the k-th best
+    similarity so far. All vectors share one constant component, so that few weak terms are not a full match."""
 
-    def __init__(self, vectors: list[dict[int, int]], y: np.ndarray, idf: np.ndarray, block: int = 64, k: int = 15):
+    def __init__(self, vectors: list[Vector | dict[int, int]], y: np.ndarray, idf: np.ndarray, block: int = 64, k: int = 15):
         self.idf, self.k, self.width = idf, k, block
+        units = [self.unit(v) for v in vectors]
         # examples with like leading terms lie together, which keeps the bounds tight
-        lead = [tuple(sorted(v, key=lambda t: (-(1 + np.log(v[t])) * idf[t], t))[:2]) for v in vectors]
+        lead = [tuple(t[:-1][np.argsort(-w[:-1], kind="stable")[:2]].tolist()) for t, w in units]
         self.order = np.array(sorted(range(len(vectors)), key=lambda i: (lead[i], i)), np.int64)
         self.y = np.asarray(y, float)[self.order]
         n, terms = len(vectors), len(idf) + 1
         self.n, self.blocks = n, -(-n // block)
-        by_term: list[list[tuple[int, float]]] = [[] for _ in range(terms)]
-        for place, i in enumerate(self.order):
-            for t, weight in zip(*self.unit(vectors[i])):
-                by_term[t].append((place, weight))
-        self.at = [np.array([p for p, _ in posts], np.int64) for posts in by_term]
-        self.weight = [np.array([w for _, w in posts]) for posts in by_term]
-        self.most = np.zeros((terms, self.blocks))
-        self.starts = np.zeros((terms, self.blocks + 1), np.int64)
-        for t in range(terms):
-            np.maximum.at(self.most[t], self.at[t] // block, self.weight[t])
-            self.starts[t] = np.searchsorted(self.at[t], np.arange(self.blocks + 1) * block)
+        term = np.concatenate([np.zeros(0, np.int32), *(units[i][0].astype(np.int32) for i in self.order)])
+        by = np.argsort(term, kind="stable")
+        self.starts = np.searchsorted(term[by], np.arange(terms + 1))
+        self.place = np.repeat(np.arange(n, dtype=np.int32), [len(units[i][0]) for i in self.order])[by]
+        self.weight = np.concatenate([np.zeros(0), *(units[i][1] for i in self.order)])[by]
+        self.open()
         self.slope, self.shift = 1.0, 0.0
         self.base = float((self.y.sum() + 1) / (n + 2))
 
-    def unit(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.array(sorted(counts), np.int64)
-        tf = np.array([counts[t] for t in terms.tolist()], float)
+    def open(self) -> None:
+        """Lays the frequent terms' weights out in blocks."""
+        size = np.diff(self.starts)
+        often = np.flatnonzero(size * 16 > self.n)
+        self.row = np.full(len(size), -1, np.int64)
+        self.row[often] = np.arange(len(often))
+        self.dense = np.zeros((self.blocks, len(often), self.width))
+        for r, t in enumerate(often.tolist()):
+            mine = self.place[self.starts[t] : self.starts[t + 1]]
+            self.dense[mine // self.width, r, mine % self.width] = self.weight[self.starts[t] : self.starts[t + 1]]
+        self.most = self.dense.max(axis=2).T.copy() if self.blocks else np.zeros((len(often), 0))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("row", "dense", "most")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.open()
+
+    def unit(self, counts: Vector | dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        if isinstance(counts, dict):
+            counts = np.array(sorted(counts), np.int64), np.array([counts[t] for t in sorted(counts)], np.int64)
+        terms, tf = counts
         weight = np.r_[(1 + np.log(np.maximum(tf, 1))) * self.idf[terms], BIAS]
-        return np.r_[terms, len(self.idf)], weight / np.sqrt((weight * weight).sum())
-
-    def nearest(self, counts: dict[int, int], without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        return np.r_[terms, len(self.idf)].astype(np.int64), weight / np.sqrt((weight * weight).sum())
+
+    def added(self, terms: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """The part that these terms have in the similarity of each example, by block."""
+        low, high = self.starts[terms], self.starts[terms + 1]
+        spans = list(zip(low.tolist(), high.tolist()))
+        if not spans:
+            return np.zeros((self.blocks, self.width))
+        place = np.concatenate([self.place[a:b] for a, b in spans])
+        weight = np.concatenate([self.weight[a:b] for a, b in spans]) * np.repeat(q, high - low)
+        return np.bincount(place, weight, minlength=self.blocks * self.width).astype(float).reshape(self.blocks, self.width)
+
+    def nearest(self, counts: Vector | dict[int, int], without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and similarities of the k most similar examples, ties by place; ``without`` is left out."""
         terms, q = self.unit(counts)
-        bound = q @ self.most[terms]
+        row = self.row[terms]
+        rare, often = row < 0, row[row >= 0]
+        total = self.added(terms[rare], q[rare])
+        common, q = (terms[~rare], q[~rare]), q[~rare]
+        bound = total.max(axis=1) + q @ self.most[often] if self.blocks else np.zeros(0)
         by = np.argsort(-bound, kind="stable")
         places, sims = np.zeros(0, np.int64), np.zeros(0)
         at, step = 0, 4
         while at < len(by):
             if len(sims) >= self.k and bound[by[at]] < sims[self.k - 1] - 1e-9:
                 break
-            chunk = by[at : at + step]
-            at, step = at + step, step * 2
-            total = np.zeros((len(chunk), self.width))
-            slot = np.full(self.blocks, -1)
-            slot[chunk] = np.arange(len(chunk))
-            flat = total.ravel()
-            for t, w in zip(terms.tolist(), q.tolist()):
-                posts, weights = self.at[t], self.weight[t]
-                if len(chunk) * 4 < self.blocks:
-                    mine = np.concatenate([np.arange(self.starts[t, c], self.starts[t, c + 1]) for c in chunk.tolist()])
-                    posts, weights = posts[mine], weights[mine]
-                s = slot[posts // self.width]
-                live = s >= 0
-                flat[(s * self.width + posts % self.width)[live]] += w * weights[live]
+            if at < OPENED:
+                chunk = by[at : at + step]
+                full = np.stack([total[b] + q @ self.dense[b][often] for b in chunk.tolist()])
+            else:
+                # bounds that close little cost more than all postings at once
+                chunk, step = by[at:], len(by)
+                full = (total + self.added(*common))[chunk]
+            at += step
             found = (chunk[:, None] * self.width + np.arange(self.width)).ravel()
             real = (found < self.n) & (found != without)
-            places, sims = np.r_[places, found[real]], np.r_[sims, np.round(flat[real], 9)]
+            places, sims = np.r_[places, found[real]], np.r_[sims, np.round(full.ravel()[real], 9)]
             best = np.lexsort((places, -sims))[: self.k]
             places, sims = places[best], sims[best]
         return places, sims
@@ -148,7 +194,7 @@ class BlockMaxIndex:
         weight = 1 / (np.maximum(1 - sims, 0) + 0.02)
         return float(((weight * self.y[places]).sum() + self.base) / (weight.sum() + 1))
 
-    def calibrate(self, vectors: list[dict[int, int]]) -> None:
+    def calibrate(self, vectors: list[Vector | dict[int, int]]) -> None:
         """A logistic line through the examples' votes without themselves."""
         votes = np.array([self.vote(*self.nearest(vectors[i], place)) for place, i in enumerate(self.order)])
         if not 0 < self.y.sum() < self.n:
@@ -167,7 +213,7 @@ class BlockMaxIndex:
         if a > 0:
             self.slope, self.shift = float(a), float(b)
 
-    def score(self, counts: dict[int, int]) -> tuple[float, np.ndarray, np.ndarray]:
+    def score(self, counts: Vector | dict[int, int]) -> tuple[float, np.ndarray, np.ndarray]:
         if not self.n:
             return 0.5, np.zeros(0, np.int64), np.zeros(0)
         places, sims = self.nearest(counts)
@@ -180,44 +226,49 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[np.ndarray, int]:
-    """In how many of all documents each term of the vocabulary is, and how many documents there are. Each batch is
-    counted where it lies; what reaches the driver is one sum for each term of a vocabulary of bounded size."""
+def document_frequencies(docs: DataFrame, vocabulary: Broadcast) -> tuple[np.ndarray, int]:
+    """In how many of all documents each term of the vocabulary is, and how many documents there are. Each task counts
+    where its documents lie; what reaches the driver is one sum for each term of the examples."""
+    size = len(vocabulary.value)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        terms, seen = Terms(vocabulary), np.zeros(len(vocabulary) + 1, np.int64)
-        for text in batch.column(0).to_pylist():
-            seen[list(terms.count(text))] += 1
-        seen[-1] = batch.num_rows
+    def run(batches):
+        terms, seen = Terms(vocabulary.value), np.zeros(size + 1, np.int64)
+        for batch in pieces(batches):
+            seen[:-1] += np.bincount(terms.count_all(batch.column(0).to_pylist())[1], minlength=size)[:size]
+            seen[-1] += batch.num_rows
         at = np.flatnonzero(seen)
-        return pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["term", "n"])
+        for x in range(0, len(at), 10_000):
+            part = at[x : x + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(seen[part])], ["term", "n"])
 
-    found = by_batch(docs.select("text"), run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    df = np.zeros(len(vocabulary) + 1, np.int64)
-    for row in found:
-        df[row["term"]] = row["n"]
+    found = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(size + 1, np.int64)
+    df[found.column("term").to_numpy()] = found.column("n").to_numpy()
     return df[:-1], int(df[-1])
 
 
 def fit_index(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = EXAMPLES, k: int = 15) -> tuple[list[str], BlockMaxIndex, list[int]]:
-    """(vocabulary, calibrated index, doc_id of each place) from at most ``examples`` labelled rows; statistics of terms cover all documents."""
+    """(vocabulary, calibrated index, doc_id of each place) from at most ``examples`` labelled rows; the vocabulary is all
+    terms of these, weighted by idf times lift, and document frequencies cover all documents."""
     sample = stored(labelled_sample(docs, labels, label, examples).select("doc_id", "text", "y"), "examples")
-    vocabulary = select_terms(sample)
-    df, n = document_frequencies(docs, vocabulary)
-    idf = np.log((n + 1) / (df + 0.5))
+    vocabulary = terms_of(sample)
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    df, n = document_frequencies(docs, sent)
+    idf = np.maximum(np.log((n + 1) / (df + 0.5)), 0.01)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        terms = Terms(vocabulary)
-        counts = [sorted(terms.count(t).items()) for t in batch.column(1).to_pylist()]
-        pairs = [pa.array([[x[i] for x in c] for c in counts], pa.list_(pa.int32())) for i in (0, 1)]
+        found = Terms(sent.value).vectors(batch.column(1).to_pylist())
+        pairs = [pa.array([x[i] for x in found], pa.list_(pa.int32())) for i in (0, 1)]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *pairs], ["doc_id", "y", "terms", "counts"])
 
-    rows = by_batch(sample, run, "doc_id long, y int, terms array<int>, counts array<int>").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["terms"], r["counts"]))
-    vectors = [dict(zip(r["terms"], r["counts"])) for r in rows]
-    index = BlockMaxIndex(vectors, np.array([r["y"] for r in rows], float), np.maximum(idf, 0.01), k=k)
+    rows = by_batch(sample, run, "doc_id long, y int, terms array<int>, counts array<int>").toArrow()
+    ids, y = rows.column("doc_id").to_pylist(), rows.column("y").to_numpy()
+    vectors = [(t.values.to_numpy(), c.values.to_numpy()) for t, c in zip(rows.column("terms"), rows.column("counts"))]
+    by = sorted(range(len(ids)), key=lambda i: (ids[i], vectors[i][0].tobytes(), vectors[i][1].tobytes()))
+    ids, y, vectors = [ids[i] for i in by], y[by].astype(float), [vectors[i] for i in by]
+    index = BlockMaxIndex(vectors, y, idf * lifts(vectors, y, len(idf)), k=k)
     index.calibrate(vectors)
-    return vocabulary, index, [rows[i]["doc_id"] for i in index.order]
+    return vocabulary, index, [ids[i] for i in index.order]
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = EXAMPLES, k: int = 15, evidence: int = 3) -> DataFrame:
@@ -225,8 +276,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples:
     examples: doc_id, similarity, label).
 
     Labels of rows whose crc32(doc_id) is divisible by 5 are never read. At most ``examples`` of the others make the
-    index; it and its vocabulary (``TERMS`` at most) are of bounded size and go to every task. Scores depend on the
-    text alone, whole; null and empty texts are scored as texts without any term. Null ids are held out; repeated rows
+    index, with all their terms; it is bounded by their texts and goes to every task. Scores depend on the text alone, whole; null and empty texts are scored as texts without any term. Null ids are held out; repeated rows
     stay; empty tables give no rows, and without labels every score is 1/2."""
     known = labels.where(~held_out(F.col("doc_id")))
     vocabulary, index, ids = fit_index(docs, known, label, examples, k)
@@ -239,9 +289,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples:
         terms, answers = Terms(vocabulary), OrderedDict()
         for batch in pieces(batches):
             scores, found = [], []
-            for text in batch.column(1).to_pylist():
-                counts = terms.count(text)
-                key = tuple(sorted(counts.items()))
+            for counts in terms.vectors(batch.column(1).to_pylist()):
+                key = hashlib.blake2b(counts[0].tobytes() + counts[1].tobytes(), digest_size=16).digest()
                 if key not in answers:
                     if len(answers) > KEPT // 10:
                         answers.clear()

@@ -504,3 +504,12 @@ def test_block_max_is_exact():
         want = np.lexsort((np.arange(300), -sims))[:7]
         places, found = index.nearest(q)
         assert np.allclose(found, sims[want], atol=1e-8) and places.tolist() == want.tolist()
+
+
+def test_toxicity_keeps_all_terms(spark):
+    """Words that say nothing of the label still choose the neighbours, in a sample too small to choose words from."""
+    texts = [(i, f"alpha{i} beta{i} gamma{i} delta{i} common words here", i % 2) for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    known = spark.createDataFrame([(i, y) for i, _, y in texts], "doc_id long, toxic int")
+    asked = [(1000 + i, f"gamma{i} alpha{i} else") for i, _, _ in texts]
+    found = toxicity.toxicity(spark.createDataFrame([x[:2] for x in texts] + asked, "doc_id long, text string"), known).where("doc_id >= 1000").collect()
+    assert len(found) == len(texts) and all(r.evidence[0].doc_id == r.doc_id - 1000 and r.evidence[0].similarity > r.evidence[1].similarity for r in found)
