@@ -83,15 +83,18 @@ class WindowIndex:
                 by = np.argsort(keys[c][mine], kind="stable")
                 row.append((keys[c][mine][by], mine[by]))
             self.tables.append(row)
-        self.seeds: dict[int, np.ndarray] = {}
-        found: dict[int, set[tuple[int, ...]]] = {}
-        for _, x in self.items:
+        #: By length of a piece: hashes of the pieces in order, and the item and the place in it of each.
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        found: dict[int, list[tuple[list[int], int, int]]] = {}
+        for i, (_, x) in enumerate(self.items):
             k = self.allowed(len(x))
             q = len(x) // (k + 1)
             for piece in range(k + 1):
-                found.setdefault(q, set()).add(tuple(x[piece * q : piece * q + q]))
+                found.setdefault(q, []).append((x[piece * q : piece * q + q], i, piece * q))
         for q, grams in found.items():
-            self.seeds[q] = np.unique(self.gram(np.array(sorted(grams), np.int64).reshape(-1, q).T))
+            g = self.gram(np.array([w for w, _, _ in grams], np.int64).reshape(-1, q).T)
+            by = np.argsort(g, kind="stable")
+            self.seeds[q] = g[by], np.array([i for _, i, _ in grams], np.int64)[by], np.array([o for _, _, o in grams], np.int64)[by]
 
     def allowed(self, n: int) -> int:
         return int((1 - self.similarity) * n + 1e-9)
@@ -117,12 +120,12 @@ class WindowIndex:
             at += ((self.bits[r][step // 64][symbol] >> np.uint64(step % 64)) & np.uint64(1)).astype(np.int64)
         return keys
 
-    def windows(self, ids: np.ndarray) -> np.ndarray:
-        """Starts of all windows that can be near an item. An item of n words with k edits leaves one of k + 1 equal
-        pieces of it whole, so a window without any such piece cannot match; the others stay, wherever the piece lies."""
-        hit = np.zeros(len(ids), bool)
+    def pieces(self, ids: np.ndarray) -> np.ndarray:
+        """(place, item, place in the item) of all pieces that are in the texts, as columns. An item of n words with k edits
+        leaves one of k + 1 equal pieces of it whole, moved by k places at most, so all matches have one here."""
+        hits = [np.zeros((3, 0), np.int64)]
         known = ids > PAD
-        for q, seeds in self.seeds.items():
+        for q, (seeds, items, offsets) in self.seeds.items():
             n = len(ids) - q + 1
             if n <= 0:
                 continue
@@ -131,9 +134,16 @@ class WindowIndex:
                 run &= known[i : n + i]
             at = np.flatnonzero(run)
             g = self.gram(np.stack([ids[at + i] for i in range(q)])) if len(at) else np.zeros(0, np.uint64)
-            where = np.minimum(np.searchsorted(seeds, g), len(seeds) - 1)
-            hit[at[seeds[where] == g]] = True
-        at = np.flatnonzero(hit)
+            lo, hi = np.searchsorted(seeds, g, "left"), np.searchsorted(seeds, g, "right")
+            some = np.flatnonzero(hi > lo)
+            n = (hi - lo)[some]
+            which = np.repeat(lo[some], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            hits.append(np.stack([np.repeat(at[some], n), items[which], offsets[which]]))
+        return np.concatenate(hits, axis=1)
+
+    def windows(self, ids: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Starts of all windows that can be near an item: those that can hold one of its pieces, wherever the piece lies."""
+        at = np.unique(places)
         reach = int(self.longest + self.allowed(self.longest))
         steps = np.zeros(len(ids) + 1, np.int64)
         np.add.at(steps, np.maximum(at - reach, 0), 1)
@@ -147,11 +157,13 @@ class WindowIndex:
         ends = np.cumsum([len(x) + 1 for x in rows])
         ids = np.array([w for x in rows for w in (*x, PAD)], np.int64)
         doc = np.repeat(np.arange(len(rows)), [len(x) + 1 for x in rows])
-        starts = self.windows(ids)
+        place, piece_of, offset = self.pieces(ids)
+        starts = self.windows(ids, place)
         if not len(starts):
             return []
         stop = ends[doc[starts]] - 1
-        pairs: list[np.ndarray] = []
+        # the walk misses edited copies, the more the longer they are; the pieces miss none
+        pairs = [np.stack([place - offset, piece_of, doc[place]])]
         for r in range(self.repeats):
             keys = self.embed(ids, starts, stop, r)
             for c, (sorted_keys, which) in enumerate(self.tables[r]):
@@ -159,20 +171,20 @@ class WindowIndex:
                 some = np.flatnonzero(hi > lo)
                 n = (hi - lo)[some]
                 item = which[np.repeat(lo[some], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-                pairs.append(np.stack([np.repeat(starts[some], n), item]))
+                window = np.repeat(starts[some], n)
+                pairs.append(np.stack([window, item, doc[window]]))
         both = np.concatenate(pairs, axis=1)
         begin = ends - np.array([len(x) + 1 for x in rows])
         # candidates of one item that overlap are verified as one stretch
         both = np.unique(both, axis=1)
-        by = np.lexsort((both[0], both[1]))
-        start, item = both[0][by], both[1][by]
+        start, item, of = both[:, np.lexsort((both[0], both[2], both[1]))]
         size = np.array([len(x) for _, x in self.items], np.int64)
-        fresh = np.r_[True, (item[1:] != item[:-1]) | (doc[start[1:]] != doc[start[:-1]]) | (start[1:] - start[:-1] > size[item[1:]])] if len(start) else np.zeros(0, bool)
+        fresh = np.r_[True, (item[1:] != item[:-1]) | (of[1:] != of[:-1]) | (start[1:] - start[:-1] > size[item[1:]])] if len(start) else np.zeros(0, bool)
         first = np.flatnonzero(fresh)
         last = np.r_[first[1:], len(start)] - 1
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for a, b in zip(first.tolist(), last.tolist()):
-            i, d = int(item[a]), int(doc[start[a]])
+            i, d = int(item[a]), int(of[a])
             pattern = self.items[i][1]
             k = self.allowed(len(pattern))
             low = max(int(begin[d]), int(start[a]) - k)
@@ -190,11 +202,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8
     document holds a stretch of words within ``(1 - similarity) * item words`` edits of the item: SCHEMA; the best match,
     of equals the first.
 
-    Words are lower-cased and split at ASCII punctuation and white space, so layout and case do not hide a copy. Windows
-    of the whole text are embedded ``repeats`` times by the CGK walk, and hashed by ``sampled`` symbols of the walk;
-    recall at the threshold is measured in the tests; every pair that is returned is verified exactly. Items of fewer
-    than ``min_words`` words say nothing and are left out, as are null items; null and empty texts match nothing; null
-    ids and repeated rows stay; empty tables give no rows. The benchmark is the small side: it goes to the tasks in
+    Words are lower-cased and split at ASCII punctuation and white space, so layout and case do not hide a copy. Windows of the whole text are embedded ``repeats`` times by the CGK walk,
+    and hashed by ``sampled`` symbols of the walk; what shares a piece with an item that no match can be without is a
+    candidate too, so no match is missed; every pair that is returned is verified exactly. Items of fewer than
+    ``min_words`` words are left out, as are null items; null and empty texts match nothing; null ids and repeated rows stay; empty tables give no rows. The benchmark is the small side: it goes to the tasks in
     blocks of ``ITEMS`` items, and each document is searched where it lies, so nothing is shuffled."""
     out = None
     for sent in indexes(docs.sparkSession, benchmark, similarity, min_words, repeats, sampled):
@@ -204,8 +215,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8
             found = index.matches(batch.column(1).to_pylist()) if index.items else []
             if not found:
                 return None
-            row, item, distance, words, start, end = (np.array(x, np.int64) for x in zip(*found))
-            columns = [batch.column(0).take(pa.array(row)), pa.array(item), pa.array(distance), pa.array(words), pa.array(1 - distance / words), pa.array(start), pa.array(end)]
+            row, item, *rest = zip(*found)
+            distance, words, start, end = (np.array(x, np.int64) for x in rest)
+            columns = [batch.column(0).take(pa.array(row)), pa.array(item, pa.int64()), pa.array(distance), pa.array(words), pa.array(1 - distance / words), pa.array(start), pa.array(end)]
             return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCHEMA.split(", ")])
 
         found = by_batch(docs.select("doc_id", "text"), run, SCHEMA)

@@ -513,3 +513,20 @@ def test_toxicity_keeps_all_terms(spark):
     asked = [(1000 + i, f"gamma{i} alpha{i} else") for i, _, _ in texts]
     found = toxicity.toxicity(spark.createDataFrame([x[:2] for x in texts] + asked, "doc_id long, text string"), known).where("doc_id >= 1000").collect()
     assert len(found) == len(texts) and all(r.evidence[0].doc_id == r.doc_id - 1000 and r.evidence[0].similarity > r.evidence[1].similarity for r in found)
+
+
+def test_decontamination_finds_long_edited_items():
+    """Items of 20 to 400 words with as many edits as the threshold allows, of each kind alone."""
+    rng = random.Random(3)
+    pool = [f"w{i}" for i in range(2000)]
+    items = [(i, [rng.choice(pool).encode() for _ in range(n)]) for i, n in enumerate([20, 59, 120, 250, 400] * 4)]
+    index = decontamination.WindowIndex(items, 0.8, 24, 3)
+    texts, want = [], set()
+    for i, w in items:
+        for kind in range(3):
+            x = [t.decode() for t in w]
+            for p in sorted(rng.sample(range(len(x)), index.allowed(len(x))), reverse=True):
+                x[p : p + (kind != 2)] = [] if kind == 0 else [rng.choice(pool)]
+            want.add((len(texts), i))
+            texts.append(" ".join([*rng.choices(pool, k=30), *x, *rng.choices(pool, k=30)]))
+    assert want <= {m[:2] for m in index.matches(texts)}
