@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
@@ -17,11 +19,18 @@ SPLIT = bytes.maketrans(PUNCTUATION, b" " * len(PUNCTUATION))
 ITEMS = 20_000
 SCHEMA = "doc_id long, item_id long, distance long, item_words long, similarity double, start_word long, end_word long"
 UNKNOWN, PAD = 0, 1
+#: Letters of scripts without spaces (Thai, Lao, Burmese, Khmer, kana, Han), each of them a word.
+UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
+#: Punctuation of these scripts.
+MARKS = re.compile("[\u3000-\u3004\u3008-\u3020\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
 
 
 def words_of(text: str | None) -> list[bytes]:
-    """Lower-case words; punctuation and white space of ASCII separate them."""
-    return (text or "").lower().encode(errors="replace").translate(SPLIT).split()
+    """Lower-case words; punctuation and white space of ASCII separate them, and each letter of a script without spaces is one."""
+    text = (text or "").lower()
+    if not text.isascii():
+        text = UNSPACED.sub(r" \1 ", MARKS.sub(" ", text)) if UNSPACED.search(text) else text
+    return text.encode(errors="replace").translate(SPLIT).split()
 
 
 def search(pattern: list[int], text: list[int]) -> tuple[int, int]:
@@ -197,15 +206,17 @@ class WindowIndex:
         return [(d, self.items[i][0], x[0], len(self.items[i][1]), x[1], x[2]) for (d, i), x in sorted(best.items())]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, min_words: int = 5, repeats: int = 24, sampled: int = 3) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, min_words: int = 1, repeats: int = 24, sampled: int = 3) -> DataFrame:
     """One row for each pair of a row of ``docs`` (doc_id, text) and an item of ``benchmark`` (item_id, text) where the
     document holds a stretch of words within ``(1 - similarity) * item words`` edits of the item: SCHEMA; the best match,
     of equals the first.
 
-    Words are lower-cased and split at ASCII punctuation and white space, so layout and case do not hide a copy. Windows of the whole text are embedded ``repeats`` times by the CGK walk,
+    Words are lower-cased and split at ASCII punctuation and white space, so layout and case do not hide a copy; each
+    letter of a script without spaces is a word. Windows of the whole text are embedded ``repeats`` times by the CGK walk,
     and hashed by ``sampled`` symbols of the walk; what shares a piece with an item that no match can be without is a
-    candidate too, so no match is missed; every pair that is returned is verified exactly. Items of fewer than
-    ``min_words`` words are left out, as are null items; null and empty texts match nothing; null ids and repeated rows stay; empty tables give no rows. The benchmark is the small side: it goes to the tasks in
+    candidate too, so no match is missed; every pair that is returned is verified exactly. Items of under five words match
+    their exact words; those of fewer than ``min_words`` words are left out, as are items without words; null and empty
+    texts match nothing; null ids, of items too, and repeated rows stay; empty tables give no rows. The benchmark is the small side: it goes to the tasks in
     blocks of ``ITEMS`` items, and each document is searched where it lies, so nothing is shuffled."""
     out = None
     for sent in indexes(docs.sparkSession, benchmark, similarity, min_words, repeats, sampled):
@@ -232,12 +243,12 @@ def indexes(spark: SparkSession, benchmark: DataFrame, similarity: float, min_wo
     for block in range(blocks):
         part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         items = [(r["item_id"], words_of(r["text"])) for r in part.select("item_id", "text").collect()]
-        items = sorted((i, w) for i, w in items if len(w) >= min_words and i is not None)
+        items = sorted(((i, w) for i, w in items if len(w) >= max(1, min_words)), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         out.append(spark.sparkContext.broadcast(WindowIndex(items, similarity, repeats, sampled)))
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, min_words: int = 5, repeats: int = 24, sampled: int = 3) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, min_words: int = 1, repeats: int = 24, sampled: int = 3) -> DataFrame:
     """The rows of ``docs``, all columns, in which ``decontaminate`` finds no item."""
     at = docs.columns.index("text")
     for sent in indexes(docs.sparkSession, benchmark, similarity, min_words, repeats, sampled):

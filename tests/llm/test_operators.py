@@ -530,3 +530,11 @@ def test_decontamination_finds_long_edited_items():
             want.add((len(texts), i))
             texts.append(" ".join([*rng.choices(pool, k=30), *x, *rng.choices(pool, k=30)]))
     assert want <= {m[:2] for m in index.matches(texts)}
+
+
+def test_decontamination_short_and_unspaced_items(spark):
+    bench = spark.createDataFrame([(1, "quite brief item"), (None, "an item that has no id"), (2, "長い文章を書いて試験の問題にする。")], "item_id long, text string")
+    texts = [(1, "So, a quite brief item is here"), (2, "here is an item that has no id at all"), (3, "これは長い文章を書いて試験の問題にすると言う"), (4, "a quite brief other item"), (5, "文章")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.decontaminate(docs, bench).collect()} == {(1, 1), (2, None), (3, 2)}
+    assert {r.doc_id for r in decontamination.clean(docs, bench).collect()} == {4, 5}
