@@ -413,12 +413,12 @@ def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, class_id, digest.
+    """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, class_id, digest, component.
 
     Two documents link where 100 * intersection >= 80 * union of their sets of five-word shingles; a text of fewer words is
     one shingle; null and empty texts and texts without words have no set and link with nothing. component_id is the
     smallest doc_id that links reach, itself included; class_id names the set (equal sets, equal ids), digest
-    is Spark's xxhash64 of the text. Ids that are
+    is Spark's xxhash64 of the text, component names what is linked, also where ids repeat or are null; null without a set. Ids that are
     null count as larger than all others and stay null where nothing else is reached; repeated rows link with each other;
     an empty table gives no rows. Shingles and sets are told apart by 64-bit hashes."""
     spread = 16 * docs.select("text").rdd.getNumPartitions()
@@ -452,9 +452,9 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     joined = components(found, "joined")
     ids = with_components(classes.select("cls", "doc_id"), joined)
     least = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    ids = ids.join(least, "component").select("cls", "component_id")
+    ids = ids.join(least, "component").select("cls", "component_id", "component")
     return rows.join(ids, "cls", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("cls").alias("class_id"), "digest"
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("cls").alias("class_id"), "digest", "component"
     )
 
 
@@ -511,7 +511,7 @@ def dealt(units: DataFrame, classes: DataFrame, apart: bool = False) -> DataFram
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents")).drop("class_id", "digest")
+    return jaccard_join(table(spark, sf_dir, "documents")).drop("class_id", "digest", "component")
 
 
 SQL = r"""
@@ -532,11 +532,12 @@ FROM sets x LEFT JOIN classes k ON k.s = list_sort(x.s) AND len(x.s) > 0 LEFT JO
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that stay when one document of each linked group does: the one with the smallest
-    doc_id, of several rows with it the one with the smallest text hash. Documents without words are linked with nothing
-    and stay."""
+    doc_id, null ids last, of several rows with it the one with the smallest text hash. Groups are told apart by their
+    sets, not by ids. Documents without words are linked with nothing and stay."""
     found = jaccard_join(docs)
-    linked = found.where("n_shingles > 0 and component_id is not null").groupBy(F.col("component_id").alias("id")).agg(F.min(F.when(F.col("doc_id") == F.col("component_id"), F.col("digest"))).alias("hash"))
-    apart = found.where("n_shingles = 0 or component_id is null").select(F.col("doc_id").alias("id"), F.col("digest").alias("hash"), F.lit(True).alias("repeats"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("digest").alias("hash"))
+    linked = found.where("n_shingles > 0").groupBy("component").agg(F.min(order).alias("least")).select("least.id", "least.hash")
+    apart = found.where("n_shingles = 0").select(F.col("doc_id").alias("id"), F.col("digest").alias("hash"), F.lit(True).alias("repeats"))
     stay = linked.withColumn("repeats", F.lit(False)).unionByName(apart).distinct()
     rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"))
     rows = rows.join(stay, rows.doc_id.eqNullSafe(stay.id) & (rows.digest == stay.hash))

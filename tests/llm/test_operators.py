@@ -538,3 +538,14 @@ def test_decontamination_short_and_unspaced_items(spark):
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontamination.decontaminate(docs, bench).collect()} == {(1, 1), (2, None), (3, 2)}
     assert {r.doc_id for r in decontamination.clean(docs, bench).collect()} == {4, 5}
+
+
+def test_one_of_each_with_repeated_and_null_ids(spark):
+    """Unlinked texts with one doc_id both stay; of near copies without ids one does."""
+    rng = random.Random(8)
+    say = lambda: " ".join(f"w{rng.randrange(9999)}" for _ in range(80))
+    one, two, three, four = (say() for _ in range(4))
+    texts = [(23, one), (23, two), (24, two), (None, three), (None, three), (None, three + " end"), (None, four), (None, None), (None, None)]
+    kept = ngram_join.one_of_each(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    left = Counter((r.doc_id, (r.text or "")[:20]) for r in kept)
+    assert left == Counter({(23, one[:20]): 1, (23, two[:20]): 1, (None, three[:20]): 1, (None, four[:20]): 1, (None, ""): 2})
