@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 from array import array
-from collections import Counter, OrderedDict
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,13 +17,14 @@ from .common import by_batch, pieces, stored, table
 from .quality_classifier import labelled_sample
 
 #: Labelled rows in the index, at most; the ones with the smallest hashes of doc_id.
-EXAMPLES = 8_000
-STRIP = ".,;:!?\"'()[]#*$%&|<>"
+EXAMPLES = 2_000
+MARKS = b".,;:!?\"'()[]{}#*$%&|<>"
+SPACED = bytes(32 if b in MARKS else b for b in range(256))
 #: Words whose terms and query vectors whose answers a worker keeps; beyond it starts anew.
 KEPT = 300_000
 BIAS = 3.0
-#: Blocks that a query opens one by one, before it adds up the postings of all that are left.
-OPENED = 8
+#: Queries that are searched at a time, and of how many examples one at least has a frequent term.
+BATCH, FREQUENT = 128, 16
 #: A term's lift is shrunk towards 1 by so many examples at the base rate.
 SHRINK = 8.0
 
@@ -30,10 +32,14 @@ SHRINK = 8.0
 Vector = tuple[np.ndarray, np.ndarray]
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """A text's words in lower case, cut at white space and ``MARKS``."""
+    return (text or "").lower().encode(errors="replace").translate(SPACED).split()
+
+
 def word_terms(word: str) -> tuple[str, ...]:
     """A word's terms: itself, from three letters, and its first five letters, where it is longer."""
-    word = word.lower().strip(STRIP)
-    return ((word,) if len(word) >= 3 else ()) + (("^" + word[:5],) if len(word) > 5 else ())
+    return (word, "^" + word[:5]) if len(word) > 5 else (word,) if len(word) >= 3 else ()
 
 
 class Terms(dict):
@@ -45,10 +51,12 @@ class Terms(dict):
         self.pairs = array("i", (-1, -1))
 
     def __missing__(self, word: bytes) -> int:
-        found = [self.at[t] for t in word_terms(word.decode(errors="replace")) if t in self.at]
-        self[word] = code = len(self.pairs) // 2 if found else 0
-        if found:
-            self.pairs.extend((found + [-1])[:2])
+        find = self.at.get
+        text = word.decode(errors="replace")
+        pair = (find(text, -1), find("^" + text[:5], -1)) if len(text) > 5 else (find(text, -1), -1)
+        self[word] = code = len(self.pairs) // 2 if pair != (-1, -1) else 0
+        if code:
+            self.pairs.extend(pair)
         return code
 
     def count_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,7 +64,7 @@ class Terms(dict):
         if len(self) > KEPT:
             self.clear()
             self.pairs = array("i", (-1, -1))
-        words = [Counter((t or "").encode().split()) for t in texts]
+        words = [Counter(words_of(t)) for t in texts]
         sizes = [len(x) for x in words]
         codes = np.fromiter((c for x in words for c in map(self.__getitem__, x)), np.int64, sum(sizes))
         often = np.fromiter((n for x in words for n in x.values()), np.int64, sum(sizes))
@@ -80,7 +88,7 @@ def terms_of(sample: DataFrame) -> list[str]:
     """All terms of the examples' texts, sorted."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = {w for text in batch.column(0).to_pylist() for w in (text or "").encode().split()}
+        words = {w for text in batch.column(0).to_pylist() for w in words_of(text)}
         return pa.RecordBatch.from_arrays([pa.array(sorted({t for w in words for t in word_terms(w.decode(errors="replace"))}), pa.string())], ["term"])
 
     return sorted(by_batch(sample.select("text"), run, "term string").distinct().toArrow().column(0).to_pylist())
@@ -102,24 +110,28 @@ class BlockMaxIndex:
     """Postings of the examples' unit vectors by term; of frequent terms in blocks of examples, with each term's largest
     weight in each block.
 
-    ``nearest`` is exact: postings of rare terms are added up in full, which with the frequent terms' largest weights
-    bounds each block; blocks are opened by falling bound, and none stays closed whose bound reaches the k-th best
-    similarity so far. All vectors share one constant component, so that few weak terms are not a full match."""
+    ``nearest`` is exact and takes many queries at a time: postings of rare terms are added up in full, which with the
+    frequent terms' largest weights bounds each block for each query. The blocks with the highest bounds are opened
+    first, and none stays closed whose bound reaches the query's k-th best similarity. All vectors share one constant
+    component, so that few weak terms are not a full match."""
 
-    def __init__(self, vectors: list[Vector | dict[int, int]], y: np.ndarray, idf: np.ndarray, block: int = 64, k: int = 15):
-        self.idf, self.k, self.width = idf, k, block
-        units = [self.unit(v) for v in vectors]
+    def __init__(self, vectors: list[Vector], y: np.ndarray, idf: np.ndarray, block: int = 64, k: int = 15):
+        self.idf, self.width = idf, block
+        n, terms = len(vectors), len(idf) + 1
+        self.n, self.blocks, self.k = n, -(-n // block), min(k, n)
+        of, term, weight = self.units(vectors) if n else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         # examples with like leading terms lie together, which keeps the bounds tight
-        lead = [tuple(t[:-1][np.argsort(-w[:-1], kind="stable")[:2]].tolist()) for t, w in units]
-        self.order = np.array(sorted(range(len(vectors)), key=lambda i: (lead[i], i)), np.int64)
+        real = np.flatnonzero(term < len(idf))
+        by = real[np.lexsort((term[real], -weight[real], of[real]))]
+        first = np.searchsorted(of[by], np.arange(n + 1))
+        lead = [tuple(term[by[a : min(a + 2, b)]].tolist()) for a, b in zip(first, first[1:])]
+        self.order = np.array(sorted(range(n), key=lambda i: (lead[i], i)), np.int64)
         self.y = np.asarray(y, float)[self.order]
-        n, terms = len(vectors), len(idf) + 1
-        self.n, self.blocks = n, -(-n // block)
-        term = np.concatenate([np.zeros(0, np.int32), *(units[i][0].astype(np.int32) for i in self.order)])
-        by = np.argsort(term, kind="stable")
+        place = np.empty(n, np.int32)
+        place[self.order] = np.arange(n, dtype=np.int32)
+        by = np.lexsort((place[of], term))
         self.starts = np.searchsorted(term[by], np.arange(terms + 1))
-        self.place = np.repeat(np.arange(n, dtype=np.int32), [len(units[i][0]) for i in self.order])[by]
-        self.weight = np.concatenate([np.zeros(0), *(units[i][1] for i in self.order)])[by]
+        self.place, self.weight = place[of[by]], weight[by]
         self.open()
         self.slope, self.shift = 1.0, 0.0
         self.base = float((self.y.sum() + 1) / (n + 2))
@@ -127,7 +139,7 @@ class BlockMaxIndex:
     def open(self) -> None:
         """Lays the frequent terms' weights out in blocks."""
         size = np.diff(self.starts)
-        often = np.flatnonzero(size * 16 > self.n)
+        often = np.flatnonzero(size * FREQUENT > self.n)
         self.row = np.full(len(size), -1, np.int64)
         self.row[often] = np.arange(len(often))
         self.dense = np.zeros((self.blocks, len(often), self.width))
@@ -143,62 +155,77 @@ class BlockMaxIndex:
         self.__dict__.update(state)
         self.open()
 
-    def unit(self, counts: Vector | dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        if isinstance(counts, dict):
-            counts = np.array(sorted(counts), np.int64), np.array([counts[t] for t in sorted(counts)], np.int64)
-        terms, tf = counts
-        weight = np.r_[(1 + np.log(np.maximum(tf, 1))) * self.idf[terms], BIAS]
-        return np.r_[terms, len(self.idf)].astype(np.int64), weight / np.sqrt((weight * weight).sum())
-
-    def added(self, terms: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """The part that these terms have in the similarity of each example, by block."""
-        low, high = self.starts[terms], self.starts[terms + 1]
-        spans = list(zip(low.tolist(), high.tolist()))
-        if not spans:
-            return np.zeros((self.blocks, self.width))
-        place = np.concatenate([self.place[a:b] for a, b in spans])
-        weight = np.concatenate([self.weight[a:b] for a, b in spans]) * np.repeat(q, high - low)
-        return np.bincount(place, weight, minlength=self.blocks * self.width).astype(float).reshape(self.blocks, self.width)
-
-    def nearest(self, counts: Vector | dict[int, int], without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places and similarities of the k most similar examples, ties by place; ``without`` is left out."""
-        terms, q = self.unit(counts)
-        row = self.row[terms]
-        rare, often = row < 0, row[row >= 0]
-        total = self.added(terms[rare], q[rare])
-        common, q = (terms[~rare], q[~rare]), q[~rare]
-        bound = total.max(axis=1) + q @ self.most[often] if self.blocks else np.zeros(0)
-        by = np.argsort(-bound, kind="stable")
-        places, sims = np.zeros(0, np.int64), np.zeros(0)
-        at, step = 0, 4
-        while at < len(by):
-            if len(sims) >= self.k and bound[by[at]] < sims[self.k - 1] - 1e-9:
-                break
-            if at < OPENED:
-                chunk = by[at : at + step]
-                full = np.stack([total[b] + q @ self.dense[b][often] for b in chunk.tolist()])
-            else:
-                # bounds that close little cost more than all postings at once
-                chunk, step = by[at:], len(by)
-                full = (total + self.added(*common))[chunk]
-            at += step
-            found = (chunk[:, None] * self.width + np.arange(self.width)).ravel()
-            real = (found < self.n) & (found != without)
-            places, sims = np.r_[places, found[real]], np.r_[sims, np.round(full.ravel()[real], 9)]
-            best = np.lexsort((places, -sims))[: self.k]
-            places, sims = places[best], sims[best]
-        return places, sims
-
-    def vote(self, places: np.ndarray, sims: np.ndarray) -> float:
-        """Share of label 1 among the neighbours, by inverse distance, with one neighbour's weight at the base rate."""
-        weight = 1 / (np.maximum(1 - sims, 0) + 0.02)
-        return float(((weight * self.y[places]).sum() + self.base) / (weight.sum() + 1))
-
-    def calibrate(self, vectors: list[Vector | dict[int, int]]) -> None:
+    def units(self, vectors: list[Vector]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(vector, term, weight) of all terms of all unit vectors; the constant component comes last in each."""
+        size = np.array([len(t) + 1 for t, _ in vectors], np.int64)
+        last = np.cumsum(size) - 1
+        term, weight = np.full(size.sum(), len(self.idf), np.int64), np.full(size.sum(), BIAS)
+        inner = np.ones(len(term), bool)
+        inner[last] = False
+        term[inner] = np.concatenate([t for t, _ in vectors])
+        weight[inner] = (1 + np.log(np.concatenate([n for _, n in vectors]))) * self.idf[term[inner]]
+        norm = np.sqrt(np.add.reduceat(weight * weight, last - size + 1))
+        return np.repeat(np.arange(len(vectors)), size), term, weight / np.repeat(norm, size)
+
+    def added(self, query: np.ndarray, term: np.ndarray, weight: np.ndarray, queries: int) -> np.ndarray:
+        """(queries, blocks, width): the part that these terms have in the similarities, from their whole postings."""
+        cells = self.blocks * self.width
+        low, size = self.starts[term], self.starts[term + 1] - self.starts[term]
+        at = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        found = np.bincount(np.repeat(query * cells, size) + self.place[at], np.repeat(weight, size) * self.weight[at], minlength=queries * cells)
+        return found.reshape(queries, self.blocks, self.width)
+
+    def nearest(self, vectors: list[Vector], without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(queries, k) places and similarities of the most similar examples, best first, ties by place. ``without`` has
+        for each query a place that is left out."""
+        queries, cells = len(vectors), self.blocks * self.width
+        if not queries or not self.n:
+            return np.zeros((queries, 0), np.int64), np.zeros((queries, 0))
+        query, term, weight = self.units(vectors)
+        rare = self.row[term] < 0
+        total = self.added(query[rare], term[rare], weight[rare], queries)
+        common = np.zeros((queries, len(self.most)))
+        common[query[~rare], self.row[term[~rare]]] = weight[~rare]
+        bound = total.max(axis=2) + common @ self.most
+        # similarity to nine digits, then the place: one number for each candidate, no two alike; 0 is none
+        keys = np.zeros((queries, cells), np.int64)
+        after = (cells - np.arange(cells)).reshape(self.blocks, self.width)
+        opened = np.zeros((queries, self.blocks), bool)
+
+        def open_blocks(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(axis=0)).tolist():
+                who = np.flatnonzero(wanted[:, b])
+                who = slice(None) if 2 * len(who) > queries else who  # a product with all costs less than a copy of most
+                sims = total[who, b] + common[who] @ self.dense[b]
+                keys[who, b * self.width : (b + 1) * self.width] = np.rint(sims * 1e9).astype(np.int64) * (cells + 1) + after[b]
+            keys[:, self.n :] = 0
+            if without is not None:
+                keys[np.arange(queries), without] = 0
+            opened[wanted] = True
+
+        first = min(self.blocks, -(-(self.k + 1) // self.width) + 1)
+        wanted = np.zeros_like(opened)
+        wanted[np.arange(queries)[:, None], np.argpartition(-bound, first - 1, axis=1)[:, :first]] = True
+        open_blocks(wanted)
+        worst = np.partition(keys, cells - self.k, axis=1)[:, cells - self.k]
+        open_blocks(~opened & (bound >= (worst // (cells + 1) / 1e9 - 1e-8)[:, None]))
+        best = np.argpartition(keys, cells - self.k, axis=1)[:, cells - self.k :]
+        best = np.take_along_axis(best, np.argsort(-np.take_along_axis(keys, best, 1), axis=1), 1)
+        found = np.take_along_axis(keys, best, 1)
+        return np.where(found > 0, best, -1), found // (cells + 1) / 1e9
+
+    def vote(self, places: np.ndarray, sims: np.ndarray) -> np.ndarray:
+        """Share of label 1 among each query's neighbours, by inverse distance, with one neighbour's weight at the base
+        rate; place -1 is no neighbour."""
+        weight = np.where(places >= 0, 1 / (np.maximum(1 - sims, 0) + 0.02), 0)
+        return ((weight * self.y[places]).sum(axis=1) + self.base) / (weight.sum(axis=1) + 1)
+
+    def calibrate(self, vectors: list[Vector]) -> None:
         """A logistic line through the examples' votes without themselves."""
-        votes = np.array([self.vote(*self.nearest(vectors[i], place)) for place, i in enumerate(self.order)])
         if not 0 < self.y.sum() < self.n:
             return
+        places = [np.arange(a, min(a + BATCH, self.n)) for a in range(0, self.n, BATCH)]
+        votes = np.concatenate([self.vote(*self.nearest([vectors[i] for i in self.order[at]], at)) for at in places])
         x = np.log(votes / (1 - votes))
         a, b = 1.0, 0.0
         for _ in range(30):
@@ -213,12 +240,17 @@ class BlockMaxIndex:
         if a > 0:
             self.slope, self.shift = float(a), float(b)
 
-    def score(self, counts: Vector | dict[int, int]) -> tuple[float, np.ndarray, np.ndarray]:
+    def score(self, vectors: list[Vector]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Calibrated scores, places and similarities."""
         if not self.n:
-            return 0.5, np.zeros(0, np.int64), np.zeros(0)
-        places, sims = self.nearest(counts)
+            return np.full(len(vectors), 0.5), *self.nearest(vectors)
+        places, sims = self.nearest(vectors)
         v = self.vote(places, sims)
-        return float(1 / (1 + np.exp(-np.clip(self.slope * np.log(v / (1 - v)) + self.shift, -30, 30)))), places, sims
+        return 1 / (1 + np.exp(-np.clip(self.slope * np.log(v / (1 - v)) + self.shift, -30, 30))), places, sims
+
+
+def pieces_of(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -276,8 +308,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples:
     examples: doc_id, similarity, label).
 
     Labels of rows whose crc32(doc_id) is divisible by 5 are never read. At most ``examples`` of the others make the
-    index, with all their terms; it is bounded by their texts and goes to every task. Scores depend on the text alone, whole; null and empty texts are scored as texts without any term. Null ids are held out; repeated rows
-    stay; empty tables give no rows, and without labels every score is 1/2."""
+    index, with all their terms; it is bounded by their texts and goes to every task. Scores depend on the text alone,
+    whole at any length; null and empty texts are scored as texts without any term. Of equally near examples the first
+    in the index counts. Null ids are held out; repeated rows stay and are searched once; other columns are ignored;
+    empty tables give no rows, and without labels every score is 1/2."""
     known = labels.where(~held_out(F.col("doc_id")))
     vocabulary, index, ids = fit_index(docs, known, label, examples, k)
     sent = docs.sparkSession.sparkContext.broadcast((vocabulary, index, ids))
@@ -286,20 +320,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples:
 
     def run(batches):
         vocabulary, index, ids = sent.value
-        terms, answers = Terms(vocabulary), OrderedDict()
-        for batch in pieces(batches):
-            scores, found = [], []
-            for counts in terms.vectors(batch.column(1).to_pylist()):
-                key = hashlib.blake2b(counts[0].tobytes() + counts[1].tobytes(), digest_size=16).digest()
-                if key not in answers:
-                    if len(answers) > KEPT // 10:
-                        answers.clear()
-                    score, places, sims = index.score(counts)
-                    answers[key] = score, [{"doc_id": ids[p], "similarity": float(s), "label": int(index.y[p])} for p, s in zip(places[:evidence], sims)]
-                score, why = answers[key]
-                scores.append(score)
-                found.append(why)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(found, kind)], ["doc_id", "score", "evidence"])
+        terms, answers = Terms(vocabulary), {}
+        for batch in (x for whole in pieces(batches) for x in pieces_of(whole, BATCH)):
+            vectors = terms.vectors(batch.column(1).to_pylist())
+            prints = [hashlib.blake2b(t.tobytes() + n.tobytes(), digest_size=16).digest() for t, n in vectors]
+            # copies are searched once
+            fresh = {x: v for x, v in zip(prints, vectors) if x not in answers}
+            if len(answers) > KEPT // 10:
+                answers = {x: answers[x] for x in prints if x in answers}
+            scores, places, sims = index.score(list(fresh.values()))
+            for x, score, at, near in zip(fresh, scores.tolist(), places[:, :evidence].tolist(), sims.tolist()):
+                answers[x] = score, [{"doc_id": ids[p], "similarity": s, "label": int(index.y[p])} for p, s in zip(at, near) if p >= 0]
+            found = [answers[x] for x in prints]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], kind)], ["doc_id", "score", "evidence"])
 
     out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, score double, evidence {near}")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")

@@ -1,7 +1,9 @@
 """Each operator against a plain version, and on hard rows: nulls, empty and long texts, ties, repeated rows, clashing columns."""
 
 import hashlib
+import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -491,19 +493,82 @@ def test_toxicity_held_out(spark):
 
 
 def test_block_max_is_exact():
+    """Against products of dense vectors, with ties, repeated examples, empty queries and more queries than a batch."""
     rng = np.random.default_rng(4)
-    vectors = [{int(t): int(rng.integers(1, 5)) for t in rng.choice(40, rng.integers(0, 6), replace=False)} for _ in range(300)]
-    index = toxicity.BlockMaxIndex(vectors, rng.integers(0, 2, 300), rng.uniform(0.5, 3, 40), block=16, k=7)
-    dense = np.zeros((300, 41))
-    for place, i in enumerate(index.order):
-        terms, weights = index.unit(vectors[i])
-        dense[place, terms] = weights
-    for q in vectors[:80]:
-        terms, weights = index.unit(q)
-        sims = np.round(dense[:, terms] @ weights, 9)
-        want = np.lexsort((np.arange(300), -sims))[:7]
-        places, found = index.nearest(q)
-        assert np.allclose(found, sims[want], atol=1e-8) and places.tolist() == want.tolist()
+    terms_of = [np.sort(rng.choice(40, rng.integers(0, 6), replace=False)).astype(np.int64) for _ in range(300)]
+    vectors = [(t, rng.integers(1, 5, len(t))) for t in terms_of] + [(np.arange(3), np.ones(3, np.int64))] * 9
+    index = toxicity.BlockMaxIndex(vectors, rng.integers(0, 2, len(vectors)), rng.uniform(0.5, 3, 40), block=16, k=7)
+    n = len(vectors)
+    dense = np.zeros((n, 41))
+    of, term, weight = index.units([vectors[i] for i in index.order])
+    dense[of, term] = weight
+    assert np.allclose((dense * dense).sum(axis=1), 1)
+    sims = np.rint(dense @ dense.T * 1e9) / 1e9
+    places, found = index.nearest([vectors[i] for i in index.order])
+    alone, _ = index.nearest([vectors[i] for i in index.order], np.arange(n))
+    for place in range(n):
+        want = np.lexsort((np.arange(n), -sims[place]))
+        assert np.allclose(found[place], sims[place][want[:7]], atol=2e-9) and places[place].tolist() == want[:7].tolist()
+        assert alone[place].tolist() == want[want != place][:7].tolist()
+    few = toxicity.BlockMaxIndex(vectors[:3], np.array([0, 1, 0]), np.ones(40), k=7)
+    assert few.nearest(vectors[:2], np.array([0, 1]))[0].tolist()[0].count(-1) == 1
+
+
+def test_toxicity_against_brute_force(spark):
+    """Every score and neighbour from whole texts in plain loops: terms, frequencies, weights, cosines, votes, calibration."""
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents").where("doc_id < 200")
+    labels = common.table(spark, "/root/testdata/sf0.01", "labels")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    known = {r.doc_id: r.toxic for r in labels.collect() if r.doc_id in texts and r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 5}
+    marks = str.maketrans(dict.fromkeys(toxicity.MARKS.decode(), " "))
+
+    def counts(text):
+        out = Counter()
+        for word in re.split("[ \t-\r]+", text.lower().translate(marks)):
+            out.update([word] * (len(word) >= 3) + ["^" + word[:5]] * (len(word) > 5))
+        return out
+
+    terms = {i: counts(t) for i, t in texts.items()}
+    frequency = Counter(t for c in terms.values() for t in c)
+    vocabulary = {t for i in known for t in terms[i]}
+    base = sum(known.values()) / len(known)
+    lift = {}
+    for t in vocabulary:
+        has = [y for i, y in known.items() if t in terms[i]]
+        lift[t] = (sum(has) + toxicity.SHRINK * base) / (len(has) + toxicity.SHRINK) / base
+
+    def unit(c):
+        v = {t: (1 + math.log(n)) * max(math.log((len(texts) + 1) / (frequency[t] + 0.5)), 0.01) * lift[t] for t, n in c.items() if t in vocabulary} | {"": toxicity.BIAS}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    units = {i: unit(c) for i, c in terms.items()}
+    _, index, ids = toxicity.fit_index(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
+    assert sorted(ids) == sorted(known)
+    rank = {i: at for at, i in enumerate(ids)}  # of equal similarities the first in the index counts
+
+    def neighbours(i, alone):
+        sims = {j: round(sum(x * units[j].get(t, 0.0) for t, x in units[i].items()), 9) for j in known if not (alone and i == j)}
+        return [(j, sims[j]) for j in sorted(sims, key=lambda j: (-sims[j], rank[j]))[:15]]
+
+    def odds(near):
+        weight = [1 / (max(1 - s, 0) + 0.02) for _, s in near]
+        share = (sum(w * known[j] for w, (j, _) in zip(weight, near)) + (sum(known.values()) + 1) / (len(known) + 2)) / (sum(weight) + 1)
+        return math.log(share / (1 - share))
+
+    x, y = np.array([odds(neighbours(i, True)) for i in ids]), np.array([known[i] for i in ids])
+
+    def slope_of(a, b):
+        p = 1 / (1 + np.exp(-(a * x + b)))
+        return ((y - p) * x).sum() - 0.5 * (a - 1), (y - p).sum()
+
+    assert max(map(abs, slope_of(index.slope, index.shift))) < 1e-5  # the best line of the penalised likelihood
+    got = toxicity.toxicity(docs, labels).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        near = neighbours(r.doc_id, False)
+        assert math.isclose(r.score, 1 / (1 + math.exp(-(index.slope * odds(near) + index.shift))), abs_tol=1e-6)
+        assert np.allclose([e.similarity for e in r.evidence], [s for _, s in near[:3]], atol=3e-9)
 
 
 def test_toxicity_keeps_all_terms(spark):
