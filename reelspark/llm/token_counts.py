@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterable
 
 import public_tokenizers
@@ -14,8 +15,9 @@ from .common import ASCII_SPACE, by_batch, table
 
 MARK = "▁"
 SPACES = ASCII_SPACE.decode()
-#: Distinct pre-tokens whose counts a worker keeps; beyond it starts anew. It bounds memory, results do not depend on it.
-KEPT = 400_000
+CODES = 0x110000
+#: Nodes of a worker's trie; beyond it starts anew. It bounds memory, results do not depend on it.
+KEPT = 1_000_000
 MODELS: dict[str, tuple[dict[str, float], float, int]] = {}
 
 
@@ -35,38 +37,44 @@ def unigram_model(path: str) -> tuple[dict[str, float], float, int]:
 class PrefixTrie:
     """Distinct pre-tokens as a trie with forward scores: a node is a prefix and holds the best (score, tokens) of it.
 
-    Children are inserted under their parent in sorted order, so only the path to the last node is live; every
-    distinct prefix is scored once, and the end of a pre-token stores its count in ``counts``."""
+    Node 0 is the mark alone. ``edges`` leads from (node, character), as one number, to the child. A word walks down as
+    far as its prefix is there and scores the nodes that it adds, so every distinct prefix is scored once as long as
+    the trie lives; the end of a pre-token stores its count in ``counts``."""
 
     def __init__(self, model: tuple[dict[str, float], float, int]):
         self.pieces, self.byte, self.longest = model
+        self.edges: dict[int, int] = {}
+        self.scores, self.tokens = array("d", (0.0,)), array("l", (0,))
         self.counts: dict[str, int] = {}
-        self.nodes = 0
+        self.forward(MARK, [0.0], [0], self.scores, self.tokens, 0)
+
+    def forward(self, text: str, score: list[float], tokens: list[int], scores: array, counts: array, at: int) -> None:
+        """Scores the prefix ``text`` from those of its own prefixes, and notes it in node ``at``."""
+        find, end = self.pieces.get, len(text)
+        width = len(text[-1].encode())
+        best, count = score[end - 1] + self.byte * width, tokens[end - 1] + width
+        for start in range(max(0, end - self.longest), end):
+            p = find(text[start:])
+            if p is not None and ((s := score[start] + p) > best or s == best and tokens[start] < count):
+                best, count = s, tokens[start] + 1
+        scores[at], counts[at] = best, count
 
     def insert(self, words: Iterable[str]) -> None:
-        find, longest, byte = self.pieces.get, self.longest, self.byte
-        score, tokens = [0.0], [0]
-        last = ""
-        for word in sorted(words):
-            text = MARK + word
-            depth = 0
-            for a, b in zip(last, text):
-                if a != b:
-                    break
-                depth += 1
-            del score[depth + 1 :], tokens[depth + 1 :]
-            for end in range(depth + 1, len(text) + 1):
-                width = len(text[end - 1].encode())
-                best, count = score[end - 1] + byte * width, tokens[end - 1] + width
-                for start in range(max(0, end - longest), end):
-                    p = find(text[start:end])
-                    if p is not None and ((s := score[start] + p) > best or s == best and tokens[start] < count):
-                        best, count = s, tokens[start] + 1
-                score.append(best)
-                tokens.append(count)
-            self.nodes += len(text) - depth
-            self.counts[word] = tokens[-1]
-            last = text
+        edges, scores, tokens = self.edges, self.scores, self.tokens
+        for word in words:
+            node = 0
+            path, taken = [0.0, scores[0]], [0, tokens[0]]
+            for depth, letter in enumerate(word, 2):
+                edge = node * CODES + ord(letter)
+                node = edges.get(edge, -1)
+                if node < 0:
+                    node = edges[edge] = len(scores)
+                    scores.append(0.0)
+                    tokens.append(0)
+                    self.forward(MARK + word[: depth - 1], path, taken, scores, tokens, node)
+                path.append(scores[node])
+                taken.append(tokens[node])
+            self.counts[word] = tokens[node]
 
 
 TRIES: dict[str, PrefixTrie] = {}
@@ -75,7 +83,7 @@ TRIES: dict[str, PrefixTrie] = {}
 def count_batch(texts: list[str | None], path: str) -> tuple[list[int], list[int]]:
     """Words and tokens of each text."""
     trie = TRIES.get(path)
-    if trie is None or len(trie.counts) > KEPT:
+    if trie is None or len(trie.scores) > KEPT:
         trie = TRIES[path] = PrefixTrie(unigram_model(path))
     split = [(t or "").encode().decode(errors="replace") for t in texts]
     table = str.maketrans(dict.fromkeys(SPACES, " "))
@@ -90,8 +98,9 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     Words are runs of characters other than ASCII white space. Each word with a leading mark is segmented alone into
     the pieces of the vocabulary with the highest sum of log probabilities (ties: fewer tokens); characters outside
-    all pieces are one token a byte. Null and empty texts have 0 and 0; null ids and repeated rows stay; an empty
-    table gives no rows. Each task has its own trie, so nothing is shuffled; memory is bounded by ``KEPT`` counts."""
+    all pieces are one token a byte. Null and empty texts have 0 and 0; texts of any length are counted whole; null ids
+    and repeated rows stay; other columns are ignored; an empty table gives no rows. Each worker has its own trie, which
+    lives through its tasks, so nothing is shuffled; memory is bounded by ``KEPT`` nodes and the words of one batch."""
     path = vocabulary or public_tokenizers.path("piece_bpe_32k.model")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
