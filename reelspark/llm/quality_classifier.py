@@ -72,34 +72,40 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def _strength(groups: DataFrame, parent: str, low: float = 2.0, high: float = 1000.0) -> DataFrame:
-    """One row: the beta prior's strength by moments from the spread of groups (n, k) about ``parent``."""
-    found = groups.agg(
-        F.sum(F.col("n") * F.pow(F.col("k") / F.col("n") - F.col(parent), 2)).alias("s"),
-        F.sum("n").alias("total"),
-        (F.sum(F.col("n") * F.col("n"))).alias("squares"),
-        F.try_divide(F.sum(F.col("n") * F.col(parent) * (1 - F.col(parent))), F.sum("n")).alias("v"),
-        (F.count("*") - 1).alias("free"),
-    )
-    rho = F.try_divide(F.try_divide(F.col("s"), F.col("v")) - F.col("free"), F.col("total") - F.try_divide(F.col("squares"), F.col("total")) - F.col("free"))
-    rho = F.greatest(F.lit(1e-6), F.coalesce(F.when((F.col("v") > 0) & (F.col("free") > 0), rho), F.lit(1e-6)))
-    return found.select(F.least(F.lit(high), F.greatest(F.lit(low), (1 - rho) / rho)).alias("strength"))
-
-
-def site_posteriors(outcomes: DataFrame) -> DataFrame:
-    """host, path, path_rate, root_rate from rows of host, path, good (0 to 1, null where unknown): beta posteriors whose
-    prior is the level above, from all rows to host to path. Rows are summed on their own machines first, so a host with
-    a third of all rows is a few partial sums."""
-    paths = outcomes.where("good is not null").groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), F.sum("good").alias("k"))
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    root = hosts.agg(((F.sum("k") + 1) / (F.sum("n") + 2)).alias("root_rate"))
-    # each broadcast here is one row of sums
-    hosts = hosts.crossJoin(F.broadcast(root))
-    hosts = hosts.crossJoin(F.broadcast(_strength(hosts, "root_rate")))
-    hosts = hosts.select("host", "root_rate", ((F.col("strength") * F.col("root_rate") + F.col("k")) / (F.col("strength") + F.col("n"))).alias("host_rate"))
-    paths = paths.join(hosts, "host")
-    paths = paths.crossJoin(F.broadcast(_strength(paths, "host_rate")))
-    return paths.select("host", "path", "root_rate", "host_rate", ((F.col("strength") * F.col("host_rate") + F.col("k")) / (F.col("strength") + F.col("n"))).alias("path_rate"))
+def _strength(groups: DataFrame, parent: Column, low: float = 2.0, high: float = 1000.0) -> float:
+    """The beta prior's strength by moments from the spread of groups (n, k) about ``parent``; five sums for the driver."""
+    s, total, squares, inner, count = groups.where("n > 0").agg(
+        F.sum(F.col("n") * F.pow(F.col("k") / F.col("n") - parent, 2)), F.sum("n"), F.sum(F.col("n") * F.col("n")), F.sum(F.col("n") * parent * (1 - parent)), F.count("*")
+    ).first()
+    rho = 1e-6
+    if count > 1 and inner and (spare := total - squares / total - (count - 1)):
+        rho = max(rho, (s / (inner / total) - (count - 1)) / spare)
+    return min(high, max(low, (1 - rho) / rho))
+
+
+class Sites:
+    """Beta posteriors of hosts and their paths, whose prior is the level above: all rows, host, path.
+
+    outcomes: host, path, good (0 to 1), weight (how much of an outcome it is, 0 to 1). ``counts`` has one row a path:
+    its n and k and its host's (sums of weight and of good times weight), stored once. Rows are summed on their own
+    machines first, so a host with a third of all rows is a few partial sums."""
+
+    def __init__(self, outcomes: DataFrame):
+        paths = outcomes.groupBy("host", "path").agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("good")).alias("k"))
+        paths = stored(paths, "paths")
+        hosts = stored(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "hosts")
+        n, k = hosts.agg(F.sum("n"), F.sum("k")).first()
+        self.root = ((k or 0.0) + 1) / ((n or 0.0) + 2)
+        self.host_strength = _strength(hosts, F.lit(self.root))
+        self.counts = paths.join(hosts.withColumnsRenamed({"n": "host_n", "k": "host_k"}), "host")
+        rate = (self.host_strength * self.root + F.col("host_k")) / (self.host_strength + F.col("host_n"))
+        self.path_strength = _strength(self.counts, rate)
+
+    def rates(self, good: Column, weight: Column) -> tuple[Column, Column]:
+        """(host, path) posterior means over ``counts`` without one outcome of their own."""
+        own = good * weight
+        host = (self.host_strength * self.root + F.col("host_k") - own) / (self.host_strength + F.col("host_n") - weight)
+        return host, (self.path_strength * host + F.col("k") - own) / (self.path_strength + F.col("n") - weight)
 
 
 def site(source: Column, lang: Column) -> tuple[Column, Column]:
@@ -122,12 +128,13 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, label: str = "quality
     """One row for each row of ``docs`` (doc_id, text, source, lang): doc_id, digest (xxhash64 of the text), doc_score,
     host_rate, path_rate, score, keep.
 
-    A logistic model of the text is fitted on the driver on at most ``sample`` labelled rows. Its probabilities over all
-    documents, labels where there are any, are the outcomes from which host and path posteriors are shrunk towards the
-    global rate. score: the text's log odds plus the log odds of the path's posterior over those of the global rate;
-    keep: score >= threshold. Null and empty texts have no evidence but the features of an empty text, sites of null
-    sources count as one host '', rows with null or repeated ids are judged one by one, empty tables give no rows, and
-    without labels all scores are near 1/2."""
+    A logistic model of the text is fitted on the driver on at most ``sample`` labelled rows. Outcomes of all documents
+    are summed by host and path: a label counts as one outcome, a probability p of the model as (2 p - 1) ** 2 of one,
+    so that undecided ones count little. Posteriors are shrunk from all rows to host to path, for each document without
+    its own outcome. score: the text's log odds plus the log odds of the path's posterior over those of the global rate;
+    keep: score >= threshold. Texts of any length are read whole; null and empty texts have no evidence but the features
+    of an empty text, sites of null sources count as one host '', rows with null or repeated ids are judged one by one,
+    other columns are ignored, empty tables give no rows, and without labels all scores are near 1/2."""
     fitted = by_batch(labelled_sample(docs, labels, label, sample).select("text", "y"), _sample_features, "x array<double>, y int").toPandas()
     x = np.array(fitted["x"].tolist(), float).reshape(-1, len(FEATURES))
     order = np.lexsort([fitted["y"].to_numpy(), *x.T])  # rows come in any order; the sums of the fit shall not
@@ -142,16 +149,14 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, label: str = "quality
     scored = stored(by_batch(rows, run, "doc_id long, digest long, host string, path string, log_odds double"), "quality")
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).cast("double").alias("y"))
     p = 1 / (1 + F.exp(-F.col("log_odds")))
-    outcomes = scored.join(known, "doc_id", "left").select("host", "path", F.coalesce("y", p).alias("good"))
-    # one row a site; Spark broadcasts it where its measured size is small and splits hot hosts where not
-    return scored.join(site_posteriors(outcomes), ["host", "path"], "left").select(
-        "doc_id",
-        "digest",
-        p.alias("doc_score"),
-        "host_rate",
-        "path_rate",
-        (1 / (1 + F.exp(-(F.col("log_odds") + _logit(F.col("path_rate")) - _logit(F.col("root_rate")))))).alias("score"),
-    ).withColumn("keep", F.col("score") >= threshold)
+    good, weight = F.coalesce("y", p), F.when(F.col("y").isNotNull(), 1.0).otherwise(F.pow(2 * p - 1, 2))
+    rows = scored.join(known, "doc_id", "left").withColumns({"good": good, "weight": weight}).drop("y")
+    sites = Sites(rows)
+    host_rate, path_rate = sites.rates(F.col("good"), F.col("weight"))
+    # one row a path; Spark broadcasts it where its measured size is small and splits hot hosts where not
+    out = rows.join(sites.counts, ["host", "path"]).select("doc_id", "digest", p.alias("doc_score"), "log_odds", host_rate.alias("host_rate"), path_rate.alias("path_rate"))
+    score = 1 / (1 + F.exp(-(F.col("log_odds") + _logit(F.col("path_rate")) - _logit(F.lit(sites.root)))))
+    return out.withColumns({"score": score, "keep": score >= threshold}).drop("log_odds")
 
 
 def _sample_features(batch: pa.RecordBatch) -> pa.RecordBatch:
