@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from reelspark.llm import decontamination, ngram_join, packing, quality_classifier, suffix_dedup
 from reelspark.llm.common import stored, table
 
+#: Bytes of a repeat: under what passages of over 50 words of prose have.
+REPEAT = 250
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
@@ -20,19 +23,20 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that start in two places go from the texts; documents stay, with what is left of their text."""
-    kept = suffix_dedup.suffix_dedup(docs, carry=True)
+    """Strings of ``REPEAT`` bytes that start in two places go from the texts; documents stay, with what is left of their
+    text. Null texts become empty, repeated rows lose what they share with each other."""
+    kept = suffix_dedup.suffix_dedup(docs, length=REPEAT, carry=True)
     own = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return kept.select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null and empty texts hold none, repeated rows go or stay together."""
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 2048 tokens."""
+    """Pieces of the documents in sequences of 2048 tokens; a null text is its end id alone, repeated rows are packed each."""
     return packing.pack(docs)
 
 
