@@ -491,7 +491,8 @@ def dealt(units: DataFrame, classes: DataFrame, apart: bool = False) -> DataFram
         main = counts.groupBy("unit").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("k"), F.max("k").alias("inside"))
         # pieces of members outside: as many as keep a piece near a block's size
         main = main.select("unit", "main", F.greatest(F.lit(1), F.ceil((F.col("k") - F.col("inside")) / 4096)).cast("long").alias("pieces"))
-        members = members.join(main, "unit")
+        # stored for the same reason: joined to its own groups, a hot unit's members would have to meet in one task
+        members = members.join(stored(main, "mains"), "unit")
         outside = F.col("component") != F.col("main")
         members = members.withColumn("side", F.when(outside, 0).otherwise(1))
         every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)

@@ -15,7 +15,7 @@ def test_stages(spark):
     bench = table(spark, FOLDER, "benchmark").orderBy("item_id").limit(1).first().text
     rng = random.Random(1)
     say = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 8))) for _ in range(n))
-    shared, copy = say(90), say(150)
+    shared, copy = say(55), say(150)
     planted = [(9001, copy), (9002, copy), (9003, copy + " end"), (9004, say(60) + " " + bench + " " + say(60)), (9005, say(100) + shared + say(100)), (9006, say(120) + shared), (9007, None), (9008, say(100))]
     more = spark.createDataFrame([(i, t, "en", "src1", len(t or "")) for i, t in planted], "doc_id long, text string, lang string, source string, n_chars long")
     docs = docs.unionByName(more).withColumn("digest", F.lit(7))
