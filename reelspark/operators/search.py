@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,7 +53,7 @@ def prompt_scores(frames: DataFrame, prompts: DataFrame, scale: float = 100.0, p
             matrix, index, groups = sent.value
             for batch in batches:
                 column = batch.column(batch.schema.get_field_index("vec"))
-                sizes = np.array([len(v) if v is not None else -1 for v in column.to_pylist()])
+                sizes = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
                 good = np.flatnonzero(sizes == matrix.shape[1])
                 for at in range(0, len(good), 2048):
                     rows_ = good[at : at + 2048]
