@@ -21,9 +21,13 @@ OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset, as in tests, a temporary folder of this process."""
+    """``spark.checkpoint.dir`` of the session; where it is unset on a local master, as in tests, a temporary folder of this
+    process. On a cluster its executors would each write to a folder of their own, so there it has to be set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "local")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir has to name a folder that driver and executors share (master {master})")
         if not OWN:
             OWN.append(tempfile.mkdtemp(prefix="reelspark-"))
             MADE.append(OWN[0])
