@@ -11,13 +11,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated vocabulary: 24 prompts in four categories, which are searched for in all rows."""
     e = read(spark, sf_dir, "embeddings").where("vec_id < 24")
     return e.select(F.col("vec_id").cast("int").alias("prompt_idx"), F.concat(F.lit("c"), F.col("vec_id") % 4).alias("category"), F.col("embedding").alias("vec"))
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three vectors a scene, eight scenes a video, three indexes; every seventh video is an opening."""
-    e = read(spark, sf_dir, "embeddings").where("vec_id >= 30")
+    e = read(spark, sf_dir, "embeddings")
     scene, video = F.floor(F.col("vec_id") / 3), F.floor(F.col("vec_id") / 24)
     start = ((scene % 8) * 100).cast("int")
     path = F.concat(F.lit("shows/ep"), video, F.when(video % 7 == 0, "_op").otherwise(""), F.lit(".mp4"))
@@ -50,7 +51,7 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
 FRAMES = """e AS (SELECT vec_id, embedding::DOUBLE[] AS vec FROM embeddings),
 prompts AS (SELECT vec_id::INT AS prompt_idx, 'c' || (vec_id % 4) AS category, vec FROM e WHERE vec_id < 24),
 frames AS (SELECT 's' || (vec_id // 24 % 3) AS source_index, 'shows/ep' || (vec_id // 24) || CASE WHEN vec_id // 24 % 7 = 0 THEN '_op' ELSE '' END || '.mp4' AS video_path,
-  (vec_id // 3 % 8 * 100)::INT AS start_frame, (vec_id // 3 % 8 * 100 + 60 + vec_id // 3 % 5 * 10)::INT AS end_frame, (vec_id % 3)::INT AS frame_idx, vec FROM e WHERE vec_id >= 30)"""
+  (vec_id // 3 % 8 * 100)::INT AS start_frame, (vec_id // 3 % 8 * 100 + 60 + vec_id // 3 % 5 * 10)::INT AS end_frame, (vec_id % 3)::INT AS frame_idx, vec FROM e)"""
 S = "source_index, video_path, start_frame, end_frame"
 SCORED = f"""scored AS (SELECT {S}, category, prompt_idx, frame_idx, 100 * list_inner_product(f.vec, p.vec) AS sim FROM frames f, prompts p),
 per_prompt AS (SELECT {S}, category, prompt_idx, max(sim) AS sim, arg_max(frame_idx, sim) AS frame_idx FROM scored GROUP BY ALL),

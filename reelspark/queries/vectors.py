@@ -65,12 +65,12 @@ def scene_best_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {FRAMES}, cut AS (SELECT vec_id, vec[1:32] AS v FROM e), unit AS (SELECT vec_id, [x / sqrt(list_inner_product(v, v)) FOR x IN v] AS v FROM cut),
-q AS (SELECT v AS q FROM unit WHERE vec_id = 0) SELECT vec_id, round(100 * list_inner_product(v, q), 4) AS similarity FROM unit, q WHERE vec_id >= 30 AND list_inner_product(v, q) >= 0.1""")
+q AS (SELECT v AS q FROM unit WHERE vec_id = 0) SELECT vec_id, round(100 * list_inner_product(v, q), 4) AS similarity FROM unit, q WHERE list_inner_product(v, q) >= 0.1""")
 def truncate_renormalize_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = T.read(spark, sf_dir, "embeddings").select("vec_id", V.truncate("embedding", 32).alias("v"))
     q = e.where("vec_id = 0").select(F.col("v").alias("q"))
     sim = V.dot("v", "q")
-    return e.where("vec_id >= 30").crossJoin(F.broadcast(q)).where(sim >= 0.1).select("vec_id", F.round(100 * sim, 4).alias("similarity"))
+    return e.crossJoin(F.broadcast(q)).where(sim >= 0.1).select("vec_id", F.round(100 * sim, 4).alias("similarity"))
 
 
 def _top(mode: int, k: int):
