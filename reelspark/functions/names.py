@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -232,10 +233,23 @@ def index_name(source: str, model: str, dim: int | None = None) -> str:
     return source if source.endswith(suffix) else source + suffix
 
 
-def index_model(name: Column) -> Column:
-    """The model that an index name says: without extension and dimension, what follows the last ``_``."""
-    bare = F.regexp_replace(F.regexp_replace(name, r"\.[A-Za-z]+$", ""), r"_d\d+$", "")
-    return F.when(bare.contains("_"), F.substring_index(bare, "_", -1)).otherwise("")
+# fixed values: modes that an index name may end with
+INDEX_MODES = ("Single", "Triplet", "TripletAvg", "SceneNative3f", "SceneNative", "SceneDetect", "Video")
+
+
+def index_model(name: Column, models: Sequence[str] = ()) -> Column:
+    """The model that an index name says. Extension, mode and dimension go from its end; then the longest of the known
+    ``models`` counts that is the whole rest or follows a ``_`` at its end, and where none does, all after the first
+    ``_``. Empty without either."""
+    bare = F.regexp_replace(name, r"\.[A-Za-z]+$", "")
+    for end in ("_(" + "|".join(INDEX_MODES) + ")$", r"_d\d+$"):
+        bare = F.regexp_replace(bare, end, "")
+    rest = F.regexp_extract(bare, "(?s)^[^_]*_(.*)$", 1)
+    if not models:
+        return rest
+    known = F.array(*map(F.lit, sorted(models, key=lambda m: (-len(m), m))))
+    matches = F.filter(known, lambda m: (bare == m) | F.endswith(bare, F.concat(F.lit("_"), m)))
+    return F.coalesce(F.try_element_at(matches, F.lit(1)), rest)
 
 
 def index_dim(name: Column) -> Column:

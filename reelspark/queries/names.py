@@ -87,10 +87,16 @@ def sanitize_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""SELECT p_partkey, 'm' || p_size AS model, CASE WHEN p_partkey % 2 = 0 THEN 256 ELSE -1 END::INT AS dim FROM part""")
+@query("""SELECT p_partkey, CASE WHEN p_size <= 25 THEN CASE WHEN p_partkey % 3 = 0 THEN 'vit_m' ELSE 'm' END || p_size ELSE p_type || CASE WHEN p_partkey % 3 = 0 THEN '_vit_m' ELSE '_m' END || p_size END AS model,
+CASE WHEN p_partkey % 2 = 0 THEN 256 ELSE -1 END::INT AS dim FROM part""")
 def index_name_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.concat(F.lit("Shows_"), "p_type", F.lit("_m"), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 2 == 0, "_d256").otherwise(""), F.lit(".lance"))
-    return T.read(spark, sf_dir, "part").select("p_partkey", N.index_model(name).alias("model"), F.coalesce(N.index_dim(name), F.lit(-1)).alias("dim"))
+    """Names with a mode, a dimension, both or neither; models of size 25 or less are known, with and without a ``vit_``."""
+    part = T.read(spark, sf_dir, "part")
+    mode = F.element_at(F.array(F.lit(""), *[F.lit(f"_{m}") for m in N.INDEX_MODES]), (F.col("p_partkey") % 8 + 1).cast("int"))
+    model = F.concat(F.when(F.col("p_partkey") % 3 == 0, "_vit_m").otherwise("_m"), F.col("p_size").cast("string"))
+    name = F.concat(F.lit("Shows_"), "p_type", model, F.when(F.col("p_partkey") % 2 == 0, "_d256").otherwise(""), mode, F.lit(".lance"))
+    known = [f"{p}m{n}" for p in ("", "vit_") for n in range(1, 26)]
+    return part.select("p_partkey", N.index_model(name, known).alias("model"), F.coalesce(N.index_dim(name), F.lit(-1)).alias("dim"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_type || '_' END || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE replace(p_name, ' ', '-') || '_' END || p_size || '_' || p_brand AS name FROM part""")
@@ -200,7 +206,7 @@ def consistency_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'clip' AS model, count(*) AS n FROM nation")
 def one_model_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = T.read(spark, sf_dir, "nation").select(N.index_model(F.concat(F.lower("n_name"), F.lit("_clip_d64"))).alias("model"))
+    names = T.read(spark, sf_dir, "nation").select(N.index_model(F.concat(F.lower("n_name"), F.lit("_clip_d64")), ["clip"]).alias("model"))
     return names.agg(one_model(F.col("model")).alias("model"), F.count("*").alias("n"))
 
 
