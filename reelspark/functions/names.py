@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,12 +16,27 @@ SYSTEM_PLACEHOLDERS = ("起始帧", "视频解析名", "扩展名")
 RESOLUTIONS = (480, 720, 1080, 2160, 4320)
 #: Tags of clip names by category.
 TAGS = {
-    "shot_scale": "远景 全景 中景 近景 特写 大特写 极远景 中近景 中全景 过肩镜头",
-    "emotion": "孤独 紧张 恐惧 悲伤 喜悦 愤怒 平静 焦虑 绝望 希望 忧郁 兴奋 惊讶 厌恶 温馨 压抑 轻松 沉重 神秘 浪漫 伤感 欢快 阴郁 明朗",
-    "subject": "人物 人群 女孩 男孩 男人 女人 老人 孩子 动物 建筑 车辆 物品 风景 天空 大海 山脉 树木 花草 街道 房间 城市 乡村",
-    "action": "站立 行走 奔跑 静止 坐着 躺着 跳跃 飞行 游泳 驾驶 交谈 拥抱 打斗 舞蹈 工作 休息 穿梭 等待 观望 思考 哭泣 微笑 转身 离开",
-    "background": "室内 室外 白天 夜晚 黄昏 黎明 雨天 晴天 雪景 雾气 都市 郊外 海边 山区 森林 沙漠 办公室 家庭 学校 医院 餐厅 商场 公园 车站",
-    "camera_movement": "推 拉 摇 移 跟 升 降 甩 晃 固定 手持 航拍 旋转 环绕 俯拍 仰拍 平移 变焦 聚焦 虚焦",
+    "shot_scale": (
+        "远景", "全景", "中景", "近景", "特写", "大特写", "极远景", "中近景", "中全景", "过肩镜头",
+    ),
+    "emotion": (
+        "孤独", "紧张", "恐惧", "悲伤", "喜悦", "愤怒", "平静", "焦虑", "绝望", "希望", "忧郁", "兴奋", "惊讶", "厌恶", "温馨", "压抑", "轻松", "沉重", "神秘", "浪漫", "伤感", "欢快", "阴郁",
+        "明朗",
+    ),
+    "subject": (
+        "人物", "人群", "女孩", "男孩", "男人", "女人", "老人", "孩子", "动物", "建筑", "车辆", "物品", "风景", "天空", "大海", "山脉", "树木", "花草", "街道", "房间", "城市", "乡村",
+    ),
+    "action": (
+        "站立", "行走", "奔跑", "静止", "坐着", "躺着", "跳跃", "飞行", "游泳", "驾驶", "交谈", "拥抱", "打斗", "舞蹈", "工作", "休息", "穿梭", "等待", "观望", "思考", "哭泣", "微笑", "转身",
+        "离开",
+    ),
+    "background": (
+        "室内", "室外", "白天", "夜晚", "黄昏", "黎明", "雨天", "晴天", "雪景", "雾气", "都市", "郊外", "海边", "山区", "森林", "沙漠", "办公室", "家庭", "学校", "医院", "餐厅", "商场", "公园",
+        "车站",
+    ),
+    "camera_movement": (
+        "推", "拉", "摇", "移", "跟", "升", "降", "甩", "晃", "固定", "手持", "航拍", "旋转", "环绕", "俯拍", "仰拍", "平移", "变焦", "聚焦", "虚焦",
+    ),
 }
 TAG_ORDER = (*TAGS, "other")
 #: Fields of a two-frame answer, the word before each and how many characters count.
@@ -30,6 +45,12 @@ NONE_TAG, UNKNOWN, SAME, DIFFERENT, YES = "无", "未知", "相同", "不同", "
 SCORE_TAG = "分值"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named. Long chains of patterns go into it: written out,
+    their generated code outgrows what a method may have, and the whole stage falls back to interpreting."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(s: Column) -> Column:
     return F.regexp_replace(s, r"^\s+|\s+$", "")
 
@@ -118,91 +139,107 @@ def bad_placeholders(template: str, categories: list[str]) -> list[str]:
     return [p for p in placeholders(template) if p not in categories and p not in SYSTEM_PLACEHOLDERS]
 
 
-def _found(name: Column, pattern: str) -> Column:
-    return name.rlike(pattern)
-
-
-def _group(name: Column, pattern: str, i: int) -> Column:
-    return F.regexp_extract(name, pattern, i)
+#: The season, wherever it stands in a name.
+SEASON = r"(?iU)(?:S|Season)[\s_\-]*(\d+)"
+#: Openings and endings, in this order, and what each becomes. ``{n}`` is a group, ``:02`` a number of two
+#: digits at least, ``:up`` capitals, ``:kind`` capitals by KINDS, ``:stamped`` the stamp where the group is empty.
+THEME_RULES = (
+    (r"(?iU)(?<![A-Za-z])S(\d+)((?:NC)?(?:OP|ED))(\d+[A-Za-z]*)", "S{1:02}{2:up}{3}"),
+    (r"(?iU)(?<![A-Za-z])S(\d+)((?:NC)?(?:OP|ED))(?![A-Za-z0-9])", "S{1:02}{2:up}"),
+    (r"(?iU)(?<![A-Za-z])(NC)?(OP|ED)(\d+[A-Za-z]*)", "{season}{1:up}{2:up}{3}"),
+    (r"(?iU)(?<![A-Za-z])(NC)?(OP|ED)(?![A-Za-z0-9])", "{season}{1:up}{2:up}"),
+    (r"(?iU)\bOpening\b", "{season}OP"),
+    (r"(?iU)\bEnding\b", "{season}ED"),
+)
+#: All other forms, in this order.
+EPISODE_RULES = (
+    (r"(?iU)(?:E|EP|Episode)[\s_\-]*(\d+)", "{season}E{1:02}"),
+    (r"(?:^|[\s\-])(\d+\.\d+)(?:$|[\s\-])", "{season}E{1}"),
+    (r"[Ss](\d+)\s*\[(\d+)\]", "S{1:02}E{2:02}"),
+    (r"[Ss](\d+)[\s_\-]+(\d+)", "S{1:02}E{2:02}"),
+    (r"(?iU)\b(OVA|OAD|SP|Special)[\s_\-]*(\d*)\b", "{1:kind}{2}"),
+    (r"(?iU)\b(Movie|Film)[\s_\-]*(\d*)\b", "Movie{2}"),
+    (r"(?iU)\bMusic[\s_\-]*Video[\s_\-]*(\d*)\b", "MV{1:stamped}"),
+    (r"(?iU)\b(PV|MV|Trailer|Preview|CM)(\d*)\b", "{1:kind}{stamp}"),
+    (r"[\s\-_\[]+(\d{1,3})(?:[\s\-_\.\]\)]|$)", "E{1:02}"),
+)
+#: Forms whose episode (the last group) has to be under 500 and no resolution.
+CHECKED = (r"[Ss](\d+)[\s_\-]+(\d+)", r"[\s\-_\[]+(\d{1,3})(?:[\s\-_\.\]\)]|$)")
+#: Kinds that are written otherwise.
+KINDS = {"SPECIAL": "SP", "TRAILER": "PV", "PREVIEW": "PV", "CM": "PV"}
 
 
 def _two(digits: Column) -> Column:
     """A number with two digits at least, as text."""
-    n = F.regexp_replace(digits, r"^0+(?=\d)", "")
-    return F.when(F.length(n) < 2, F.lpad(n, 2, "0")).otherwise(n)
-
-
-def episode(name: Column, stamp: Column) -> Column:
-    """Episode part of a video's name (without extension); ``stamp`` is the time that nameless previews take."""
-    i = "(?iU)"
-    season = i + r"(?:S|Season)[\s_\-]*(\d+)"
-    number = i + r"(?:E|EP|Episode)[\s_\-]*(\d+)"
-    has_season, has_number = _found(name, season), _found(name, number)
-    s = F.concat(F.lit("S"), _two(_group(name, season, 1)))
-    compact = i + r"(?<![A-Za-z])S(\d+)((?:NC)?(?:OP|ED))(\d+[A-Za-z]*)"
-    compact_bare = i + r"(?<![A-Za-z])S(\d+)((?:NC)?(?:OP|ED))(?![A-Za-z0-9])"
-    theme = i + r"(?<![A-Za-z])(NC)?(OP|ED)(\d+[A-Za-z]*)"
-    theme_bare = i + r"(?<![A-Za-z])(NC)?(OP|ED)(?![A-Za-z0-9])"
-    themed = (
-        F.when(_found(name, theme), F.concat(F.upper(_group(name, theme, 1)), F.upper(_group(name, theme, 2)), _group(name, theme, 3)))
-        .when(_found(name, theme_bare), F.concat(F.upper(_group(name, theme_bare, 1)), F.upper(_group(name, theme_bare, 2))))
-        .when(_found(name, i + r"\bOpening\b"), "OP")
-        .when(_found(name, i + r"\bEnding\b"), "ED")
-    )
-    decimal = r"(?:^|[\s\-])(\d+\.\d+)(?:$|[\s\-])"
-    bracket = r"[Ss](\d+)\s*\[(\d+)\]"
-    apart = r"[Ss](\d+)[\s_\-]+(\d+)"
-    special = i + r"\b(OVA|OAD|SP|Special)[\s_\-]*(\d*)\b"
-    movie = i + r"\b(Movie|Film)[\s_\-]*(\d*)\b"
-    music = i + r"\bMusic[\s_\-]*Video[\s_\-]*(\d*)\b"
-    preview = i + r"\b(PV|MV|Trailer|Preview|CM)(\d*)\b"
-    alone = r"[\s\-_\[]+(\d{1,3})(?:[\s\-_\.\]\)]|$)"
-
-    def usable(group: Column) -> Column:
-        n = group.try_cast("long")
-        return (n < 500) & ~n.isin(*RESOLUTIONS)
-
-    kind = F.upper(_group(name, special, 1))
-    return (
-        F.when(_found(name, compact), F.concat(F.lit("S"), _two(_group(name, compact, 1)), F.upper(_group(name, compact, 2)), _group(name, compact, 3)))
-        .when(_found(name, compact_bare), F.concat(F.lit("S"), _two(_group(name, compact_bare, 1)), F.upper(_group(name, compact_bare, 2))))
-        .when(themed.isNotNull() & has_season, F.concat(s, themed))
-        .when(themed.isNotNull(), themed)
-        .when(has_season & has_number, F.concat(s, F.lit("E"), _two(_group(name, number, 1))))
-        .when(has_number, F.concat(F.lit("E"), _two(_group(name, number, 1))))
-        .when(_found(name, decimal) & has_season, F.concat(s, F.lit("E"), _group(name, decimal, 1)))
-        .when(_found(name, decimal), F.concat(F.lit("E"), _group(name, decimal, 1)))
-        .when(_found(name, bracket), F.concat(F.lit("S"), _two(_group(name, bracket, 1)), F.lit("E"), _two(_group(name, bracket, 2))))
-        .when(_found(name, apart) & usable(_group(name, apart, 2)), F.concat(F.lit("S"), _two(_group(name, apart, 1)), F.lit("E"), _two(_group(name, apart, 2))))
-        .when(_found(name, special), F.concat(F.when(kind == "SPECIAL", "SP").otherwise(kind), _group(name, special, 2)))
-        .when(_found(name, movie), F.concat(F.lit("Movie"), _group(name, movie, 2)))
-        .when(_found(name, music) & (_group(name, music, 1) != ""), F.concat(F.lit("MV"), _group(name, music, 1)))
-        .when(_found(name, music), F.concat(F.lit("MV"), stamp))
-        .when(_found(name, preview), F.concat(F.when(F.upper(_group(name, preview, 1)) == "MV", "MV").otherwise("PV"), stamp))
-        .when(_found(name, alone) & usable(_group(name, alone, 1)), F.concat(F.lit("E"), _two(_group(name, alone, 1))))
-        .otherwise(F.concat(F.lit("PV"), stamp))
-    )
+    return F.regexp_replace(F.concat(F.lit("0"), digits), r"(?U)^0+(?=\d\d)", "")
+
+
+def _by_rule(name: Column, stamp: Column, season: Column, pattern: str, form: str) -> Column:
+    """What ``form`` makes of the first place of ``pattern``; null where there is none."""
+
+    def part(field: str) -> Column:
+        if field in ("season", "stamp"):
+            return {"season": season, "stamp": stamp}[field]
+        number, _, how = field.partition(":")
+        group = F.regexp_extract(name, pattern, int(number))
+        if how == "02":
+            return _two(group)
+        if how == "stamped":
+            return F.when(group == "", stamp).otherwise(group)
+        if how == "kind":
+            kinds = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
+            return F.coalesce(F.try_element_at(kinds, F.upper(group)), F.upper(group))
+        return F.upper(group) if how == "up" else group
+
+    fits = name.rlike(pattern)
+    if pattern in CHECKED:
+        number = F.regexp_extract(name, pattern, re.compile(pattern).groups).try_cast("long")
+        fits &= (number < 500) & ~number.isin(*RESOLUTIONS)
+    parts = re.split(r"\{([^}]+)\}", form)
+    return F.when(fits, F.concat(*[part(p) if i % 2 else F.lit(p) for i, p in enumerate(parts)]))
+
+
+def episode(name: Column, stamp: Column, guessed: Column | None = None) -> Column:
+    """Episode part of a video's name (without extension); ``stamp`` is the time that nameless previews take.
+
+    guessed: what a parser of release names found, struct(title string, season int, episode string), from a parser that the
+    user runs. Openings and endings go before its episode, all other rules after it."""
+
+    def by_rules(n: Column) -> Column:
+        # "S" and two digits, or nothing where the name has no season
+        season = F.regexp_replace(F.concat(F.lit("S0"), F.regexp_extract(n, SEASON, 1)), r"(?U)(?<=^S)0+(?=\d\d)|^S0$", "")
+        themes = [_by_rule(n, stamp, season, *rule) for rule in THEME_RULES]
+        others = [_by_rule(n, stamp, season, *rule) for rule in EPISODE_RULES]
+        return F.coalesce(*themes, *told, *others, F.concat(F.lit("PV"), stamp))
+
+    told = []
+    if guessed is not None:
+        number = guessed["episode"]
+        told = [
+            F.concat(F.lit("S"), _two(guessed["season"].cast("string")), F.lit("E"), _two(F.regexp_replace(number, r"\..*$", ""))),
+            F.concat(F.lit("E"), F.when(number.contains("."), number).otherwise(_two(number))),
+        ]
+    return bound(name, by_rules)
 
 
 #: What titles lose, in this order.
-_GAP = r"[\s\-_]*\b"
 TITLE_REMOVALS = (
     r"\[.*?\]",
-    _GAP + r"S\d+E\d+(?:v\d+)?\b",
-    _GAP + r"S[\s_\-]*\d+\b",
-    _GAP + r"E[\s_\-]*\d+\b",
-    _GAP + r"EP[\s_\-]*\d+\b",
-    _GAP + r"Season[\s_\-]*\d+\b",
-    _GAP + r"Episode[\s_\-]*\d+\b",
-    _GAP + r"(?:NC)?(?:OP|ED)\d*\b",
-    _GAP + r"Opening\b[\s\-_]*\bTheme\b",
-    _GAP + r"Ending\b[\s\-_]*\bTheme\b",
-    _GAP + r"Opening\b",
-    _GAP + r"Ending\b",
-    _GAP + r"Special[\s_\-]*\d*\b",
-    _GAP + r"(?:OVA|OAD|SP)[\s_\-]*\d*\b",
-    _GAP + r"Film[\s_\-]*\d*\b",
-    _GAP + r"(?:PV|MV|Trailer|Preview|CM)\d*\b",
+    r"[\s\-_]*\bS\d+E\d+(?:v\d+)?\b",
+    r"[\s\-_]*\bS[\s_\-]*\d+\b",
+    r"[\s\-_]*\bE[\s_\-]*\d+\b",
+    r"[\s\-_]*\bEP[\s_\-]*\d+\b",
+    r"[\s\-_]*\bSeason[\s_\-]*\d+\b",
+    r"[\s\-_]*\bEpisode[\s_\-]*\d+\b",
+    r"[\s\-_]*\b(?:NC)?(?:OP|ED)\d*\b",
+    r"[\s\-_]*\bOpening\b[\s\-_]*\bTheme\b",
+    r"[\s\-_]*\bEnding\b[\s\-_]*\bTheme\b",
+    r"[\s\-_]*\bOpening\b",
+    r"[\s\-_]*\bEnding\b",
+    r"[\s\-_]*\bSpecial[\s_\-]*\d*\b",
+    r"[\s\-_]*\b(?:OVA|OAD|SP)[\s_\-]*\d*\b",
+    r"[\s\-_]*\bFilm[\s_\-]*\d*\b",
+    r"[\s\-_]*\b(?:PV|MV|Trailer|Preview|CM)\d*\b",
     r"[\s\-_]+\d{1,3}(?=[\s\-_\.]|$)",
     r"\b(?:x26[45]|HEVC|H\.?264|AVC|10bit|Hi10P)\b",
     r"\b(?:FLAC|AAC|AC3|DTS|MP3|Opus)\b",
@@ -211,20 +248,29 @@ TITLE_REMOVALS = (
 )
 
 
-def title(name: Column) -> Column:
-    """A video's title from its name (without extension); the name where nothing is left."""
-    out = name
-    for pattern in TITLE_REMOVALS:
-        out = strip(F.regexp_replace(out, "(?iU)" + pattern, ""))
-    out = strip(F.regexp_replace(out, r"(?U)[\s\-_]+", " "))
-    return F.when(out == "", name).otherwise(out)
+def title(name: Column, guessed: Column | None = None) -> Column:
+    """A video's title from its name (without extension), or from the title of ``guessed`` where that is not empty; what is
+    cleaned stays as it is where nothing is left."""
+    if guessed is not None:
+        told = guessed["title"]
+        name = F.when(told != "", told).otherwise(name)
+
+    def cleaned(n: Column) -> Column:
+        for pattern in TITLE_REMOVALS:
+            n = strip(F.regexp_replace(n, "(?iU)" + pattern, ""))
+        return strip(F.regexp_replace(n, r"(?U)[\s\-_]+", " "))
 
+    return bound(name, lambda n: bound(cleaned(n), lambda out: F.when(out == "", n).otherwise(out)))
 
-def video_name(path: Column, stamp: Column, given: Column | None = None) -> Column:
+
+def video_name(path: Column, stamp: Column, given: Column | None = None, guessed: Column | None = None) -> Column:
     """title_episode of a path; ``given`` is used as the title where it is not empty."""
-    name = stem(path)
-    own = title(name)
-    return F.concat_ws("_", own if given is None else F.when(F.coalesce(given, F.lit("")) != "", given).otherwise(own), episode(name, stamp))
+
+    def named(name: Column) -> Column:
+        own = title(name, guessed)
+        return F.concat_ws("_", own if given is None else F.when(given != "", given).otherwise(own), episode(name, stamp, guessed))
+
+    return bound(stem(path), named)
 
 
 def index_name(source: str, model: str, dim: int | None = None) -> str:
@@ -261,7 +307,7 @@ def tag_category(tag: Column) -> Column:
     """Category of a clip tag; the first that has it, or other."""
     out = F.lit("other")
     for category in reversed(list(TAGS)):
-        out = F.when(tag.isin(*TAGS[category].split(" ")), category).otherwise(out)
+        out = F.when(tag.isin(*TAGS[category]), category).otherwise(out)
     return out
 
 

@@ -85,3 +85,11 @@ def test_sanitise(spark):
     assert column(spark, [' a<b>:"/\\|?*c '], N.sanitise) == ["a_b________c"]
     assert column(spark, ["_a?_"], N.sanitise_result) == ["a"]
     assert column(spark, ["...", "a/b. "], N.sanitise_folder) == ["export", "a_b"]
+
+
+def test_guessed_names(spark):
+    rows = [("A S1 - 03", "B", 2, "4"), ("A S1 - 03", "", None, "4"), ("A - 03", None, None, "4.5"), ("A S2 NCOP1", "B", 2, "4"), ("A - 03", None, None, None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, name string, t string, s int, e string")
+    guessed = F.struct(F.col("t").alias("title"), F.col("s").alias("season"), F.col("e").alias("episode"))
+    got = [r[0] for r in df.orderBy("i").select(N.video_name(F.concat("name", F.lit(".mkv")), F.lit(TS), guessed=guessed)).collect()]
+    assert got == ["B_S02E04", "A_E04", "A_E4.5", "B_S02NCOP1", "A_E03"]
