@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +14,12 @@ from ..functions import names as N
 from ..plans.stages import stored
 from ..sources.scenes import SCENE
 
-#: Scenes in a block of pairwise products.
-BLOCK = 1024
+#: Vectors in a block of pairwise products.
+BLOCK = 2048
+#: Vectors that directions and cuts are taken from. They decide what can be skipped, never what is found.
+GUIDES = 4096
+#: Directions in which blocks have bounds; cuts on the way to a cell.
+DIRECTIONS, CUTS = 16, 10
 
 
 def intersect_categories(rows: DataFrame, required: Sequence[str], required_subs: Sequence[str] = (), required_labels: Sequence[str] = (), scene: Sequence[str] = SCENE) -> DataFrame:
@@ -40,36 +45,130 @@ def intersect_categories(rows: DataFrame, required: Sequence[str], required_subs
     return per.where((F.col("kinds") < 2) | keep).drop("kinds", "subs", "names")
 
 
-def conflicts(scenes: DataFrame, group: str, threshold: float, other_video: bool = True) -> DataFrame:
-    """grp, a, b (ordinals, a < b): pairs of scenes of one group whose best product of vectors is over ``threshold``; only of
-    different videos where ``other_video``. scenes: group, ord, video_path, features (array of vectors).
+def guide(scenes: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(directions, axes, cuts) from the first vectors of at most GUIDES scenes: orthonormal directions of largest spread, and
+    a tree of CUTS levels that halves the widest direction at the median, as arrays by node (children of i: 2 i + 1, 2 i + 2)."""
+    first = scenes.where(F.size("features") > 0).select("ord", F.col("features")[0].alias("vec"))
+    rows = [r.vec for r in first.orderBy(F.xxhash64("ord"), "ord").limit(GUIDES).select("vec").collect() if r.vec and None not in r.vec]
+    dims = [len(v) for v in rows]
+    dim = max(set(dims), key=lambda d: (dims.count(d), d), default=0)
+    x = np.array([v for v in rows if len(v) == dim and np.isfinite(v).all()], float)
+    axes, cuts = np.zeros(2**CUTS - 1, int), np.zeros(2**CUTS - 1)
+    if not len(x):
+        return np.zeros((0, dim)), axes, cuts
+    directions = np.linalg.svd(x - x.mean(0), full_matrices=False)[2][:DIRECTIONS]
+    at = x @ directions.T
+    members = {0: at}
+    for node in range(len(axes)):
+        mine = members.pop(node)
+        if len(mine):
+            axes[node] = np.argmax(np.ptp(mine, axis=0))
+            cuts[node] = np.median(mine[:, axes[node]])
+        right = mine[:, axes[node]] > cuts[node]
+        members[2 * node + 1], members[2 * node + 2] = mine[~right], mine[right]
+    return directions, axes, cuts
+
+
+def placed(scenes: DataFrame, group: str) -> DataFrame:
+    """grp, dim, blk, ord, video_path, at, norm, vec (packed) of each vector of ``scenes``: its place along the directions of
+    ``guide``, its squared length, and a block of BLOCK vectors or so that lie near each other.
+
+    A group gets as many levels of cuts as it has blocks for; a cell that holds more than BLOCK vectors for all that, such
+    as one of many copies, is split by hash. Vectors of a length that has no directions are only split by hash. Empty
+    vectors and those with a null or a value that is not finite are left out: they are near nothing."""
+    directions, axes, cuts = guide(scenes)
+    wide = dict(scenes.dtypes)["features"] != "array<array<float>>"
+
+    def place(batches):
+        for batch in batches:
+            column = batch.column(3)
+            sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+            for dim in np.unique(sizes[sizes > 0]):
+                picked = np.flatnonzero(sizes == dim)
+                x = column.take(pa.array(picked)).flatten().to_numpy(zero_copy_only=False).reshape(len(picked), dim)
+                norm = np.square(x.astype(float)).sum(1)
+                picked, x, norm = picked[np.isfinite(norm)], x[np.isfinite(norm)], norm[np.isfinite(norm)]
+                at, node = np.zeros((len(x), len(directions))), np.zeros(len(x), int)
+                if dim == directions.shape[1] and len(directions):
+                    at = x.astype(float) @ directions.T
+                    for _ in range(CUTS):
+                        node = 2 * node + 1 + (at[np.arange(len(x)), axes[node]] > cuts[node])
+                    node -= len(axes)
+                bits = x.astype("<f8" if wide else "<f4")
+                take = pa.array(picked)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(i).take(take) for i in range(3)), pa.array(np.full(len(x), dim), pa.int32()), pa.array(node, pa.int32()), pa.array(list(at), pa.list_(pa.float64())), pa.array(norm), pa.array([v.tobytes() for v in bits], pa.binary())],
+                    ["grp", "ord", "video_path", "dim", "leaf", "at", "norm", "vec"],
+                )
+
+    vectors = scenes.select(F.col(group).cast("string").alias("grp"), F.col("ord").cast("long").alias("ord"), "video_path", F.explode("features").alias("vec"))
+    rows = stored(vectors.mapInArrow(place, "grp string, ord long, video_path string, dim int, leaf int, at array<double>, norm double, vec binary"), "vectors")
+    key = ["grp", "dim"]
+    leaves = rows.groupBy(*key, "leaf").agg(F.count("*").alias("n"))
+    levels = F.least(F.lit(CUTS), F.greatest(F.lit(0), F.ceil(F.log2(F.sum("n") / BLOCK))))
+    leaves = leaves.join(leaves.groupBy(*key).agg(levels.alias("levels")), key).withColumn("cell", F.floor(F.col("leaf") / F.pow(F.lit(2), CUTS - F.col("levels"))).cast("long"))
+    parts = leaves.groupBy(*key, "cell").agg(F.ceil(F.sum("n") / BLOCK).cast("long").alias("parts"))
+    cells = leaves.join(parts, [*key, "cell"]).select(*key, "leaf", "cell", "parts")
+    blk = F.col("cell") + 2**CUTS * F.pmod(F.xxhash64("ord", "vec"), F.col("parts"))
+    return rows.join(cells, [*key, "leaf"]).select(*key, blk.alias("blk"), "ord", "video_path", "at", "norm", "vec")
+
+
+def block_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
+    """grp, dim, ba, bb (ba <= bb): blocks of ``placed`` that can hold two vectors with a product over ``threshold``.
+
+    2 x.y = |x|^2 + |y|^2 - |x - y|^2, and no projection on orthonormal directions makes a distance longer. So where the
+    boxes of two blocks are further apart than their longest vectors allow, no product is over the threshold. Blocks of a
+    group are dealt by 1024 with a copy of all its boxes, so no task tests more than 1024 of them against the group."""
+    key = ["grp", "dim"]
+    corners = [f(F.get("at", F.lit(i))).alias(f"{f.__name__}{i}") for i in range(DIRECTIONS) for f in (F.min, F.max)]
+    boxes = stored(vectors.groupBy(*key, "blk").agg(F.max("norm").alias("norm"), *corners), "boxes")
+    shares = boxes.groupBy(*key).agg(F.ceil(F.count("*") / 1024).cast("long").alias("shares"))
+    left = boxes.join(shares, key).withColumn("share", F.pmod(F.xxhash64("blk"), F.col("shares"))).drop("shares")
+    right = boxes.join(shares, key).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))).drop("shares")
+    a, b = left.alias("a"), right.alias("b")
+    apart = F.lit(0.0)
+    for i in range(DIRECTIONS):
+        gap = F.greatest(F.col(f"a.min{i}") - F.col(f"b.max{i}"), F.col(f"b.min{i}") - F.col(f"a.max{i}"), F.lit(0.0))
+        apart = apart + F.coalesce(gap * gap, F.lit(0.0))
+    lengths = F.col("a.norm") + F.col("b.norm")
+    same = F.expr("a.grp <=> b.grp and a.dim = b.dim and a.share = b.share")
+    return a.join(b, same & (F.col("a.blk") <= F.col("b.blk")) & (apart <= lengths * (1 + 1e-6) - 2 * threshold + 1e-6)).select("a.grp", "a.dim", F.col("a.blk").alias("ba"), F.col("b.blk").alias("bb"))
 
-    A group is cut into blocks of BLOCK scenes; a task takes two blocks and multiplies their matrices, so the largest
-    group is spread over as many tasks as it has pairs of blocks, and only pairs over the threshold leave a task."""
-    sizes = scenes.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    blocked = scenes.join(sizes, group).withColumn("blk", F.pmod(F.xxhash64("ord"), F.col("blocks")))
-    packed = blocked.groupBy(F.col(group).alias("grp"), "blk").agg(F.collect_list(F.struct("ord", "video_path", "features")).alias("rows"))
-    left, right = packed.select("grp", F.col("blk").alias("ba"), F.col("rows").alias("ra")), packed.select("grp", F.col("blk").alias("bb"), F.col("rows").alias("rb"))
-    pairs = left.join(right, "grp").where("ba <= bb").repartition("grp", "ba", "bb")
 
-    def matrix(rows):
-        lengths = [len(r["features"]) for r in rows]
-        return np.array([v for r in rows for v in r["features"]], float), np.repeat(np.arange(len(rows)), lengths)
+def conflicts(scenes: DataFrame, group: str, threshold: float, other_video: bool = True) -> DataFrame:
+    """grp, a, b, sim (ordinals, a < b): pairs of scenes of one group whose best product of vectors is over ``threshold``; only
+    of different videos where ``other_video``. scenes: group, ord, video_path, features (array of vectors). Vectors of
+    different lengths have no product; a null video counts as an empty name.
+
+    Vectors lie in blocks of near ones (``placed``); a task multiplies two blocks that can meet (``block_pairs``), and only
+    pairs over the threshold leave it. How many blocks meet depends on how the vectors spread: groups of near ones far from
+    each other meet few, vectors without any structure meet all."""
+    vectors = stored(placed(scenes, group), "blocks")
+    wide = dict(scenes.dtypes)["features"] != "array<array<float>>"
+    packed = vectors.groupBy("grp", "dim", "blk").agg(F.collect_list(F.struct("ord", "video_path", "vec")).alias("rows"))
+    near = block_pairs(vectors, threshold)
+    left, right = packed.withColumnsRenamed({"blk": "ba", "rows": "ra"}), packed.withColumnsRenamed({"blk": "bb", "rows": "rb"})
+    pairs = near.join(left, ["grp", "dim", "ba"]).join(right, ["grp", "dim", "bb"]).repartition("grp", "dim", "ba", "bb")
+
+    def side(rows: pa.StructArray):
+        x = np.frombuffer(b"".join(rows.field(2).to_pylist()), "<f8" if wide else "<f4").astype(float).reshape(len(rows), -1)
+        return x, rows.field(0).to_numpy(zero_copy_only=False), pc.fill_null(rows.field(1), "")
 
     def run(batches):
         for batch in batches:
-            for grp, ba, ra, bb, rb in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                ra, rb = [r for r in ra if r["features"]], [r for r in rb if r["features"]]
-                if not ra or not rb:
-                    continue
-                (x, xi), (y, yi) = matrix(ra), matrix(rb)
-                best = np.maximum.reduceat(np.maximum.reduceat(x @ y.T, np.flatnonzero(np.r_[True, np.diff(xi) > 0]), axis=0), np.flatnonzero(np.r_[True, np.diff(yi) > 0]), axis=1)
-                i, j = np.nonzero(best > threshold)
-                found = [(grp, *sorted((ra[p]["ord"], rb[q]["ord"])), float(best[p, q])) for p, q in zip(i.tolist(), j.tolist()) if (ba != bb or ra[p]["ord"] < rb[q]["ord"]) and not (other_video and ra[p]["video_path"] == rb[q]["video_path"])]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), pa.int64(), pa.int64(), pa.float64()))], ["grp", "a", "b", "sim"])
-
-    return pairs.select("grp", "ba", "ra", "bb", "rb").mapInArrow(run, "grp string, a long, b long, sim double")
+            for at in range(batch.num_rows):
+                (x, i, u), (y, j, v) = side(batch.column(1)[at].values), side(batch.column(2)[at].values)
+                p, q = np.nonzero((sims := x @ y.T) > threshold)
+                a, b = i[p], j[q]
+                good = a != b
+                if other_video:
+                    good &= pc.not_equal(u.take(pa.array(p)), v.take(pa.array(q))).to_numpy(zero_copy_only=False)
+                if good.any():
+                    a, b, sim = a[good], b[good], sims[p, q][good]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1).take(pa.array(np.zeros(len(a), int))), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(sim)], ["grp", "a", "b", "sim"])
+
+    found = pairs.select("grp", "ra", "rb").mapInArrow(run, "grp string, a long, b long, sim double")
+    return found.groupBy("grp", "a", "b").agg(F.max("sim").alias("sim"))
 
 
 def greedy_keep(pairs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -115,6 +116,55 @@ def test_greedy_blocks(spark, monkeypatch):
     test_greedy_dedup(spark)
 
 
+def near(items, threshold):
+    """Pairs (a, b) -> best product, by plain loops; items: (group, ord, video, vectors)."""
+    out = {}
+    for g, i, v, xs in items:
+        for h, j, w, ys in items:
+            if g == h and i < j and v != w:
+                best = [float(np.dot(x, y)) for x in xs or [] for y in ys or [] if x and len(x) == len(y)]
+                best = [s for s in best if s > threshold]
+                if best:
+                    out[g, i, j] = max(best)
+    return out
+
+
+@pytest.mark.parametrize("threshold", [0.9, 0.0, -0.5, 3.0])
+def test_conflicts_equal_plain_loops(spark, monkeypatch, threshold):
+    """Vectors of any length, several a scene, of two dimensions, empty, null and not finite."""
+    monkeypatch.setattr(refine, "BLOCK", 6)
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(5, 4))
+    items = []
+    for i in range(90):
+        xs = [(centres[i % 5] * rng.choice([0.3, 1.0]) + rng.normal(size=4) * 0.1).tolist() for _ in range(i % 3 + 1)]
+        items.append((f"g{i % 2}", i, f"v{i % 7}", xs if i % 11 else [x[:2] for x in xs]))
+    items += [("g0", 90, "w", [[float("nan")] * 4]), ("g0", 91, "w", []), ("g0", 92, "w", None), ("g0", 93, "w", [[]])]
+    rows = spark.createDataFrame(items, "grp string, ord long, video_path string, features array<array<double>>")
+    got = {(r.grp, r.a, r.b): r.sim for r in refine.conflicts(rows, "grp", threshold).collect()}
+    wanted = near([x for x in items if x[1] != 90], threshold)
+    assert set(got) == set(wanted)
+    assert all(abs(got[k] - wanted[k]) < 1e-9 for k in got)
+    none = rows.where("false")
+    assert refine.conflicts(none, "grp", threshold).count() == 0
+
+
+def test_blocks_far_apart_do_not_meet(spark, monkeypatch):
+    """64 sets of near copies far from each other: blocks grow with the rows, and each meets only a few."""
+    monkeypatch.setattr(refine, "BLOCK", 16)
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(64, 16))
+    x = np.repeat(centres, 20, axis=0) + rng.normal(size=(1280, 16)) * 0.01
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = spark.createDataFrame([("g", i, f"v{i}", [v.tolist()]) for i, v in enumerate(x)], "grp string, ord long, video_path string, features array<array<double>>")
+    vectors = refine.placed(rows, "grp").cache()
+    blocks = vectors.select("blk").distinct().count()
+    pairs = refine.block_pairs(vectors, 0.95).count()
+    assert blocks >= 64 and pairs < 4 * blocks < blocks * blocks / 8
+    found = refine.conflicts(rows, "grp", 0.95).count()
+    assert found == int((np.triu(x @ x.T, 1) > 0.95).sum())
+
+
 def test_missing_vectors_stay(spark):
     rows = spark.createDataFrame([("s", "a", 0, 1, None), ("s", "b", 0, 1, [[1.0]]), ("s", "c", 0, 1, [[1.0]])], "source_index string, video_path string, start_frame int, end_frame int, features array<array<double>>")
     assert sorted(r.video_path for r in refine.drop_near_copies(rows, "source_index", ["video_path"]).collect()) == ["a", "b"]
