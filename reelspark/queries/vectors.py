@@ -29,6 +29,29 @@ def query(sql: str | None = None):
     return add
 
 
+#: Scenes ``m`` as matches.
+MATCHES = """SELECT source_index, video_path, a AS start_frame, b AS end_frame, start_frame::BIGINT AS original_start, end_frame::BIGINT AS original_end, b - a AS duration_frames,
+  round((b - a) / 25.0, 2)::DOUBLE AS duration_seconds, printf('%02d:%02d', ((b - a) // 25) // 60, ((b - a) // 25) % 60) AS duration_display,
+  printf('%02d:%02d:%02d.%03d', (a * 40) // 3600000, (a * 40) // 60000 % 60, (a * 40) // 1000 % 60, (a * 40) % 1000) AS start,
+  printf('%02d:%02d:%02d.%03d', (b * 40) // 3600000, (b * 40) // 60000 % 60, (b * 40) // 1000 % 60, (b * 40) % 1000) AS end, round(sim, 4) AS similarity"""
+
+
+def shifted(name: str) -> str:
+    return f"m AS (SELECT *, greatest(0, start_frame - 2)::BIGINT AS a, greatest(greatest(0, start_frame - 2) + 1, end_frame + 2)::BIGINT AS b FROM {name})"
+
+
+def greedy(group: str) -> str:
+    """kept (group, ord): rows of ``ordered`` (group, ord, video_path, vs) that are not near an earlier kept row of another video."""
+    return f"""flat AS (SELECT {group}, ord, video_path, unnest(vs) AS v FROM ordered),
+sims AS (SELECT a.{group}, a.ord AS i, b.ord AS j, max(list_inner_product(a.v, b.v)) AS sim FROM flat a JOIN flat b ON a.{group} = b.{group} AND a.ord < b.ord AND a.video_path <> b.video_path GROUP BY ALL),
+close AS (SELECT * FROM sims WHERE sim > 0.35),
+conf AS (SELECT {group}, j AS ord, list(i) AS c FROM close GROUP BY ALL),
+walk({group}, ord, kept) AS (SELECT {group}, 0::BIGINT, [0::BIGINT] FROM ordered WHERE ord = 0
+  UNION ALL SELECT w.{group}, o.ord, CASE WHEN len(list_intersect(w.kept, coalesce(c.c, []::BIGINT[]))) = 0 THEN list_append(w.kept, o.ord) ELSE w.kept END
+  FROM walk w JOIN ordered o ON o.{group} = w.{group} AND o.ord = w.ord + 1 LEFT JOIN conf c ON c.{group} = o.{group} AND c.ord = o.ord),
+kept AS (SELECT {group}, unnest(arg_max(kept, ord)) AS ord FROM walk GROUP BY {group})"""
+
+
 def best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.best_prompts(search.candidates(frames(spark, sf_dir), prompts(spark, sf_dir), 1))
 
@@ -47,12 +70,7 @@ def scene_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {FRAMES}, q AS (SELECT vec AS qvec FROM e WHERE vec_id = 0),
 found AS (SELECT {S}, max(100 * list_inner_product(vec, qvec)) AS sim FROM frames, q GROUP BY ALL HAVING max(100 * list_inner_product(vec, qvec)) >= 5),
-m AS (SELECT *, greatest(0, start_frame - 2)::BIGINT AS a, greatest(greatest(0, start_frame - 2) + 1, end_frame + 2)::BIGINT AS b FROM found)
-SELECT source_index, video_path, a AS start_frame, b AS end_frame, start_frame::BIGINT AS original_start, end_frame::BIGINT AS original_end, b - a AS duration_frames,
-  round((b - a) / 25.0, 2)::DOUBLE AS duration_seconds, printf('%02d:%02d', ((b - a) // 25) // 60, ((b - a) // 25) % 60) AS duration_display,
-  printf('%02d:%02d:%02d.%03d', (a * 40) // 3600000, (a * 40) // 60000 % 60, (a * 40) // 1000 % 60, (a * 40) % 1000) AS start,
-  printf('%02d:%02d:%02d.%03d', (b * 40) // 3600000, (b * 40) // 60000 % 60, (b * 40) // 1000 % 60, (b * 40) % 1000) AS end, round(sim, 4) AS similarity
-FROM m ORDER BY sim DESC, source_index, video_path, start_frame LIMIT 20""")
+{shifted("found")} {MATCHES} FROM m ORDER BY sim DESC, source_index, video_path, start_frame LIMIT 20""")
 def text_search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = T.read(spark, sf_dir, "embeddings").where("vec_id = 0").select(F.col("embedding").alias("qvec"))
     found = search.by_similarity(search.query_scores(frames(spark, sf_dir), q, threshold=5)).limit(20)
@@ -154,14 +172,7 @@ def index_build_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NODES = f"""nodes AS (SELECT {S}, list(vec ORDER BY frame_idx) AS vs FROM frames GROUP BY ALL),
 ordered AS (SELECT *, row_number() OVER (PARTITION BY source_index ORDER BY start_frame || '_' || video_path, end_frame) - 1 AS ord FROM nodes),
-flat AS (SELECT source_index, ord, video_path, unnest(vs) AS v FROM ordered),
-sims AS (SELECT a.source_index, a.ord AS i, b.ord AS j, max(list_inner_product(a.v, b.v)) AS sim FROM flat a JOIN flat b ON a.source_index = b.source_index AND a.ord < b.ord AND a.video_path <> b.video_path GROUP BY ALL),
-close AS (SELECT * FROM sims WHERE sim > 0.35),
-conf AS (SELECT source_index, j AS ord, list(i) AS c FROM close GROUP BY ALL),
-walk(source_index, ord, kept) AS (SELECT source_index, 0::BIGINT, [0::BIGINT] FROM ordered WHERE ord = 0
-  UNION ALL SELECT w.source_index, o.ord, CASE WHEN len(list_intersect(w.kept, coalesce(c.c, []::BIGINT[]))) = 0 THEN list_append(w.kept, o.ord) ELSE w.kept END
-  FROM walk w JOIN ordered o ON o.source_index = w.source_index AND o.ord = w.ord + 1 LEFT JOIN conf c ON c.source_index = o.source_index AND c.ord = o.ord),
-kept AS (SELECT source_index, unnest(arg_max(kept, ord)) AS ord FROM walk GROUP BY source_index)"""
+{greedy("source_index")}"""
 
 
 def _order() -> list:
@@ -193,16 +204,43 @@ def oped_priority_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refine.drop_near_copies(rows, "grp", _order(), 2.0, N.stem(F.col("video_path"))).select(*KEY, "grp")
 
 
-@query()
-def text_search_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = T.read(spark, sf_dir, "embeddings").where("vec_id = 0").select(F.col("embedding").alias("qvec"))
-    return retrieval.text_search(scenes(spark, sf_dir), q, Settings(threshold=5, dedup_threshold=0.35))
+def one_opening(rows: DataFrame) -> DataFrame:
+    """Only videos of the first index are openings, so that both ways to drop near-copies are taken."""
+    return rows.withColumn("video_path", F.when(F.col("source_index") == "s0", F.col("video_path")).otherwise(F.replace("video_path", F.lit("_op"), F.lit(""))))
 
 
-@query()
+ONE_OPENING = FRAMES.replace("frames AS (", "every AS (") + """,
+frames AS (SELECT * REPLACE (CASE WHEN source_index = 's0' THEN video_path ELSE replace(video_path, '_op', '') END AS video_path) FROM every)"""
+
+
+@query(f"""WITH RECURSIVE {ONE_OPENING}, q AS (SELECT vec AS qvec FROM e WHERE vec_id = 0),
+found AS (SELECT {S}, max(100 * list_inner_product(vec, qvec)) AS sim, list(vec ORDER BY frame_idx) AS vs FROM frames, q GROUP BY ALL HAVING max(100 * list_inner_product(vec, qvec)) >= 5),
+named AS (SELECT *, contains(video_path, '_op.') AS oped, bool_or(contains(video_path, '_op.')) OVER (PARTITION BY source_index) AS any_oped FROM found),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY source_index ORDER BY sim DESC, video_path, start_frame) - 1 AS ord FROM named WHERE NOT any_oped), {greedy("source_index")},
+stay AS (SELECT {S}, sim FROM named WHERE oped UNION ALL SELECT {S}, sim FROM ordered JOIN kept USING (source_index, ord)), {shifted("stay")} {MATCHES} FROM m""")
+def text_search_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = T.read(spark, sf_dir, "embeddings").where("vec_id = 0").select(F.col("embedding").alias("qvec"))
+    return retrieval.text_search(one_opening(scenes(spark, sf_dir)), q, Settings(threshold=5, dedup_threshold=0.35))
+
+
+@query(f"""WITH RECURSIVE {ONE_OPENING}, {SCORED}, good AS (SELECT *, 'l' || (prompt_idx % 3) AS label FROM best WHERE sim >= 15),
+whole AS (SELECT {S}, max(sim) AS sim, arg_max(prompt_idx, (sim, -prompt_idx)) AS prompt_idx, string_agg(label, '_' ORDER BY category) AS label,
+  start_frame || '_' || split_part(video_path, '/', 2) AS scene_key FROM good GROUP BY {S} HAVING count(DISTINCT category) = 4),
+named AS (SELECT *, source_index || '|' || label AS grp, contains(video_path, '_op.') AS oped, bool_or(contains(video_path, '_op.')) OVER (PARTITION BY source_index, label) AS any_oped
+  FROM whole JOIN (SELECT {S}, list(vec) AS vs FROM frames GROUP BY {S}) USING ({S})),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY scene_key, video_path, end_frame) - 1 AS ord FROM named WHERE NOT any_oped), {greedy("grp")},
+stay AS (SELECT {S}, sim, prompt_idx, label, scene_key FROM named WHERE oped UNION ALL SELECT {S}, sim, prompt_idx, label, scene_key FROM ordered JOIN kept USING (grp, ord)),
+fresh AS (SELECT *, coalesce((start_frame - lag(end_frame) OVER w > 40)::INT, 1) AS new FROM stay WINDOW w AS (PARTITION BY source_index, video_path ORDER BY start_frame, scene_key)),
+isles AS (SELECT *, sum(new) OVER (PARTITION BY source_index, video_path ORDER BY start_frame, scene_key ROWS UNBOUNDED PRECEDING) AS island FROM fresh),
+labels AS (SELECT source_index, video_path, island, label, min(start_frame) AS at FROM isles GROUP BY ALL)
+SELECT source_index, video_path, min(start_frame) AS start_frame, arg_max(end_frame, start_frame) AS end_frame, round(avg(sim), 4) AS similarity, count(*) AS members,
+  string_agg(prompt_idx, ',' ORDER BY start_frame) AS prompts, (SELECT string_agg(l.label, '_' ORDER BY l.at) FROM labels l WHERE l.source_index = i.source_index AND l.video_path = i.video_path AND l.island = i.island) AS label
+FROM isles i GROUP BY source_index, video_path, island""")
 def label_search_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = prompts(spark, sf_dir).withColumn("label_cn", F.concat(F.lit("l"), F.col("prompt_idx") % 3))
-    return retrieval.label_search(scenes(spark, sf_dir), p, Settings(threshold=15, dedup_threshold=0.35, merge_gap=40, required=("c0", "c1", "c2", "c3")))
+    s = Settings(threshold=15, dedup_threshold=0.35, merge_gap=40, required=("c0", "c1", "c2", "c3"))
+    merged = retrieval.label_search(one_opening(scenes(spark, sf_dir)), p, s)
+    return merged.select("source_index", "video_path", "start_frame", "end_frame", F.round("similarity", 4).alias("similarity"), "members", F.array_join(F.transform("prompt_idx", lambda x: x.cast("string")), ",").alias("prompts"), "label")
 
 
 @query(f"""WITH {FRAMES} SELECT {S}, count(*) AS feature_count, (SELECT len(vec) FROM e LIMIT 1)::BIGINT AS dim FROM frames GROUP BY {S}""")
