@@ -80,6 +80,33 @@ def run_plan(plan: DataFrame, cut: Callable[[Row], bool]) -> DataFrame:
     return plan.where("state = 'cut'").mapInArrow(go, "target string, ok boolean, error string")
 
 
+def run_ways(plan: DataFrame, ways: dict[str, Callable[[Row], bool]]) -> DataFrame:
+    """Tries the ``ways`` to cut, in order, for each row of state ``cut``: target, way (the first that succeeds, null where none
+    does), tried, error (of the last that failed). Ways are, say, copy, encode, direct and video only. What a row does not
+    allow (columns of its own, such as ``has_audio``) is for the way to refuse by returning False."""
+
+    def go(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                done, tried, error = None, 0, None
+                for name, cut in ways.items():
+                    tried += 1
+                    try:
+                        if cut(Row(**row)):
+                            done = name
+                            break
+                    except Exception as e:  # noqa: BLE001
+                        error = str(e)
+                out.append((row["target"], done, tried, error))
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds], ["target", "way", "tried", "error"])
+
+    return plan.where("state = 'cut'").mapInArrow(go, "target string, way string, tried int, error string")
+
+
 def frame_requests(rows: DataFrame, cached: DataFrame) -> DataFrame:
     """video_path, frame_no of pictures to decode for (video_path, start_frame, end_frame, frame_idx), each once and only those
     that ``cached`` does not have."""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import frames as T
 from ..functions import vectors as V
+from ..plans.stages import stored
 from ..sources.scenes import SCENE
 
 #: Bytes of prompt vectors that one pass sends to the tasks; more prompts take more passes.
@@ -72,6 +73,10 @@ def prompt_scores(frames: DataFrame, prompts: DataFrame, scale: float = 100.0, p
                             yield pa.RecordBatch.from_arrays([*columns, pa.array([name] * len(x)), pa.array(index[a:b][y]), pa.array(mine[x, y])], [*scene, "frame_idx", "category", "prompt_idx", "sim"])
 
         found = frames.select(*scene, "frame_idx", "vec").mapInArrow(run, schema)
+        if blocks > 1:
+            # a part is multiplied and let go before the next one goes out
+            found = stored(found, "scores")
+            sent.destroy()
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -155,6 +160,15 @@ def matches(scores: DataFrame, fps: Column | float = 25.0, start_offset: int = 0
     )
 
 
+def with_video_facts(rows: DataFrame, videos: DataFrame, fps: float = 25.0) -> DataFrame:
+    """Adds fps, width and height of each row's video. videos: video_path, fps, width, height; of several rows of a path the
+    one with the largest values counts. Unknown videos, and rates that are null or not positive, take ``fps``."""
+    best = F.max(F.struct("fps", "width", "height"))
+    facts = videos.groupBy("video_path").agg(best.alias("v")).select("video_path", "v.*")
+    joined = rows.drop("fps", "width", "height").join(facts, "video_path", "left")
+    return joined.withColumn("fps", F.when(F.col("fps") > 0, F.col("fps").cast("double")).otherwise(F.lit(fps)))
+
+
 def by_similarity(rows: DataFrame) -> DataFrame:
     return rows.orderBy(F.desc("similarity"), "source_index", "video_path", "start_frame")
 

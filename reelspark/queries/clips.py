@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import arguments as A
 from ..functions import frames as X
 from ..functions import names as N
 from ..operators import export, refine, search, shots
@@ -98,7 +99,15 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", (F.col("i") % 5).alias("x"), F.floor(F.col("i") / 5).cast("int").alias("y"), F.element_at("v", F.col("i") + 1).alias("dx"), F.element_at("v", F.col("i") + 33).alias("dy"))
 
 
-@query()
+@query("""WITH c AS (SELECT vec_id, unnest(range(25)) AS i, embedding::DOUBLE[] AS v FROM embeddings), d AS (SELECT vec_id, i % 5 AS x, i // 5 AS y, v[i + 1] AS dx, v[i + 33] AS dy FROM c),
+s AS (SELECT vec_id, avg(sqrt(dx * dx + dy * dy)) AS mag, greatest(sqrt(avg(dx * dx) + avg(dy * dy)), 1e-8) AS energy,
+  avg(dx) FILTER (x < 2) AS l, avg(dx) FILTER (x >= 2) AS r, avg(dy) FILTER (y < 2) AS t, avg(dy) FILTER (y >= 2) AS b FROM d GROUP BY vec_id),
+f AS (SELECT *, ((r - l) + (b - t)) / 2 AS push, (l + r) / 2 AS pan, (t + b) / 2 AS tilt, least(abs(r), abs(l)) / greatest(abs(r), abs(l), 1e-8) > 0.15 AND least(abs(b), abs(t)) / greatest(abs(b), abs(t), 1e-8) > 0.15 AS even FROM s),
+q AS (SELECT *, abs(push) / energy >= 0.22 AND even AND (abs(push) > 1.5 * greatest(abs(pan), abs(tilt)) OR greatest(abs(pan), abs(tilt)) < 0.05) AS radial FROM f),
+g AS (SELECT vec_id, least(0.6 / (1 + mag / 0.05), 0.98) AS still, CASE WHEN radial AND push > 0 THEN abs(push) / energy END AS push, CASE WHEN radial AND NOT push > 0 THEN abs(push) / energy END AS pull,
+  CASE WHEN abs(pan) / energy >= 0.35 THEN abs(pan) / energy END AS pan, CASE WHEN abs(tilt) / energy >= 0.35 THEN abs(tilt) / energy END AS tilt FROM q),
+h AS (SELECT *, greatest(still, push, pull, pan, tilt) AS best, still + coalesce(push, 0) + coalesce(pull, 0) + coalesce(pan, 0) + coalesce(tilt, 0) + 0.01 AS total FROM g)
+SELECT vec_id, CASE best WHEN still THEN '固定镜头' WHEN push THEN '推镜头' WHEN pull THEN '拉镜头' WHEN pan THEN '摇镜头' WHEN tilt THEN '移镜头' END AS vote, round(least(best / total, 0.95), 6) AS score FROM h""")
 def flow_pair_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shots.pair_vote(shots.flow_statistics(_cells(spark, sf_dir), ("vec_id",)), shots.Flow(static=0.05)).select("vec_id", "vote", F.round("score", 6).alias("score"))
 
@@ -278,3 +287,28 @@ def streaming_running_best(spark: SparkSession, sf_dir: str) -> DataFrame:
         incremental.best_upserts(stream, 3, f"{at}/best", f"{at}/log", ["user_id"]).awaitTermination()
     return spark.read.parquet(f"{at}/best/2")
 
+
+
+@query(r"""WITH p AS (SELECT p_partkey, 'C:\films\' || p_name || ' [' || p_brand || ']: it''s; ' || p_size || ',x.mkv' AS path FROM part)
+SELECT p_partkey, chr(39) || regexp_replace(replace(replace(path, '\', '/'), chr(39), chr(39) || '\' || chr(39) || chr(39)), '([:;,\[\]])', '\\\1', 'g') || chr(39) AS path,
+  printf('%.9f', p_size * 1001 / 24000::DOUBLE) AS seconds, 'h264_nvenc p5 -rc:v vbr -cq:v ' || p_size || ' -qmin ' || p_size || ' -qmax ' || (p_size + 2) || ' -spatial_aq 1 -temporal_aq 1 -rc-lookahead 20' AS fast,
+  '-b:v ' || CASE p_size WHEN 18 THEN '8M' WHEN 20 THEN '6M' WHEN 26 THEN '3M' WHEN 28 THEN '2M' ELSE '4M' END AS rate FROM p JOIN part USING (p_partkey)""")
+def cut_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.lit("C:\\films\\"), "p_name", F.lit(" ["), "p_brand", F.lit("]: it's; "), "p_size", F.lit(",x.mkv"))
+    _, chosen, preset = A.encoder("libx264", "medium", "cuda")
+    other = A.encoder("h265", "medium", "videotoolbox")[1]
+    fast = F.concat_ws(" ", F.lit(chosen), F.lit(preset), A.quality_arguments(F.col("p_size"), chosen, "cuda"))
+    return T.read(spark, sf_dir, "part").select(
+        "p_partkey", A.filter_path(path).alias("path"), A.seconds_argument(F.col("p_size"), 24000, 1001).alias("seconds"), fast.alias("fast"),
+        F.concat_ws(" ", A.quality_arguments(F.col("p_size"), other, "videotoolbox")).alias("rate"),
+    )
+
+
+@query("""WITH v AS (SELECT c_custkey % 40 AS video, max({'k': c_nationkey, 'w': c_custkey % 5}) AS f FROM customer GROUP BY 1)
+SELECT event_id, CASE WHEN f.k > 0 THEN f.k ELSE 25 END::DOUBLE AS fps, coalesce(f.w * 100, 0)::BIGINT AS width FROM events LEFT JOIN v ON video = user_id""")
+def video_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of videos by path; those of nation 0 and of videos without a row are unknown."""
+    c = T.read(spark, sf_dir, "customer")
+    videos = c.select((F.col("c_custkey") % 40).cast("string").alias("video_path"), F.col("c_nationkey").alias("fps"), (F.col("c_custkey") % 5 * 100).cast("long").alias("width"), F.lit(1).alias("height"))
+    rows = T.read(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("string").alias("video_path"))
+    return search.with_video_facts(rows, videos).select("event_id", "fps", F.coalesce("width", F.lit(0)).alias("width"))

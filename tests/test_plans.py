@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from reelspark import seams
 from reelspark.config import Settings
 from reelspark.functions import paths
+from reelspark.functions import arguments
 from reelspark.operators import export, prompts, refine, search, shots
 from reelspark.plans import retrieval, stages
 from reelspark.sources import scenes as S
@@ -243,3 +244,24 @@ def test_shared_folder(spark, monkeypatch):
     monkeypatch.setattr(stages, "OWN", [])
     first = stages.shared_dir(Session)
     assert first == stages.shared_dir(Session) and "reelspark-" in first
+
+
+def test_ways_to_cut(spark):
+    plan = spark.createDataFrame([("a", "cut", 1), ("b", "cut", 2), ("c", "cut", 3), ("d", "exists", 1)], "target string, state string, n int")
+
+    def copy(row):
+        if row.n > 1:
+            raise OSError("no copy")
+        return True
+
+    ways = {"copy": copy, "encode": lambda row: row.n == 2, "video only": lambda row: False}
+    assert sorted((r.target, r.way, r.tried, r.error) for r in export.run_ways(plan, ways).collect()) == [("a", "copy", 1, None), ("b", "encode", 2, "no copy"), ("c", None, 3, "no copy")]
+
+
+def test_arguments(spark):
+    assert arguments.encoder("h264", "slow") == (None, "h264", "slow")
+    assert arguments.encoder("HEVC", "fast", "qsv") == ("qsv", "hevc_qsv", "fast")
+    crf = F.lit(23)
+    got = spark.range(1).select(arguments.quality_arguments(crf, "libx264"), arguments.quality_arguments(crf, "libx264", "cuda"), arguments.quality_arguments(crf, "h264_amf", "amf"), arguments.filter_path(F.lit("a\\b'[1]"))).first()
+    assert got[0] == ["-crf", "23"] == got[1] and got[2] == ["-rc", "cqp", "-qp_i", "23", "-qp_p", "23", "-qp_b", "23"]
+    assert got[3] == "'a/b'\\''\\[1\\]'"
