@@ -152,11 +152,12 @@ def scene_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SAMPLES}, ranked AS (SELECT s.*, x.vec, row_number() OVER w AS rn, count(*) OVER (PARTITION BY s.video_path, s.start_frame) AS n FROM spans s
   JOIN samples x ON x.video_path = s.video_path AND x.frame_no BETWEEN s.start_frame AND s.end_frame WINDOW w AS (PARTITION BY s.video_path, s.start_frame ORDER BY x.frame_no)),
 three AS (SELECT video_path, start_frame, end_frame, max(n) AS n, max(vec) FILTER (rn = 1) AS a, max(vec) FILTER (rn = n // 2 + 1) AS m, max(vec) FILTER (rn = n) AS z FROM ranked GROUP BY ALL)
-SELECT video_path, start_frame, end_frame, n AS samples, round(a[1], 4) AS first_0, round(CASE WHEN n >= 3 THEN m[1] ELSE (a[1] + z[1]) / 2 END, 4) AS middle_0, round(z[1], 4) AS last_0 FROM three""")
+SELECT video_path, start_frame, end_frame, n AS samples, round(a[1], 4) AS first_0, round(CASE WHEN n >= 3 THEN m[1] ELSE (a[1] + z[1]) / 2 END, 4) AS middle_0, round(z[1], 4) AS last_0,
+  round(list_inner_product(a, z), 4) AS first_last, round(CASE WHEN n >= 3 THEN list_inner_product(m, a) ELSE (list_inner_product(a, a) + list_inner_product(z, a)) / 2 END, 4) AS middle_first FROM three""")
 def scene_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = segment.triplets(segment.scene_spans(marked(spark, sf_dir)), samples(spark, sf_dir))
     f = F.col("features")
-    return rows.select("video_path", "start_frame", "end_frame", "samples", *[F.round(f[i][0], 4).alias(n) for i, n in enumerate(("first_0", "middle_0", "last_0"))])
+    return rows.select("video_path", "start_frame", "end_frame", "samples", *[F.round(f[i][0], 4).alias(n) for i, n in enumerate(("first_0", "middle_0", "last_0"))], F.round(V.dot(f[0], f[2]), 4).alias("first_last"), F.round(V.dot(f[1], f[0]), 4).alias("middle_first"))
 
 
 @query()
@@ -197,13 +198,6 @@ def greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refine.drop_near_copies(scenes(spark, sf_dir), "source_index", _order(), 0.35).select(*KEY)
 
 
-@query(f"""WITH {FRAMES}, nodes AS (SELECT {S} FROM frames GROUP BY ALL), named AS (SELECT *, 'g' || (start_frame // 300) || source_index AS grp, contains(video_path, '_op.') AS oped FROM nodes)
-SELECT {S}, grp FROM (SELECT *, bool_or(oped) OVER (PARTITION BY grp) AS any_oped FROM named) WHERE any_oped = oped""")
-def oped_priority_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scenes(spark, sf_dir).withColumn("grp", F.concat(F.lit("g"), F.floor(F.col("start_frame") / 300), "source_index"))
-    return refine.drop_near_copies(rows, "grp", _order(), 2.0, N.stem(F.col("video_path"))).select(*KEY, "grp")
-
-
 def one_opening(rows: DataFrame) -> DataFrame:
     """Only videos of the first index are openings, so that both ways to drop near-copies are taken."""
     return rows.withColumn("video_path", F.when(F.col("source_index") == "s0", F.col("video_path")).otherwise(F.replace("video_path", F.lit("_op"), F.lit(""))))
@@ -213,6 +207,15 @@ ONE_OPENING = FRAMES.replace("frames AS (", "every AS (") + """,
 frames AS (SELECT * REPLACE (CASE WHEN source_index = 's0' THEN video_path ELSE replace(video_path, '_op', '') END AS video_path) FROM every)"""
 
 
+@query(f"""WITH RECURSIVE {ONE_OPENING}, nodes AS (SELECT {S}, list(vec) AS vs FROM frames GROUP BY {S}), grouped AS (SELECT *, 'g' || (start_frame // 300) || source_index AS grp, contains(video_path, '_op.') AS oped FROM nodes),
+named AS (SELECT *, bool_or(oped) OVER (PARTITION BY grp) AS any_oped FROM grouped),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY start_frame || '_' || video_path, end_frame) - 1 AS ord FROM named WHERE NOT any_oped), {greedy("grp")}
+SELECT {S}, grp FROM named WHERE oped UNION ALL SELECT {S}, grp FROM ordered JOIN kept USING (grp, ord)""")
+def oped_priority_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = one_opening(scenes(spark, sf_dir)).withColumn("grp", F.concat(F.lit("g"), F.floor(F.col("start_frame") / 300), "source_index"))
+    return refine.drop_near_copies(rows, "grp", _order(), 0.35, N.stem(F.col("video_path"))).select(*KEY, "grp")
+
+
 @query(f"""WITH RECURSIVE {ONE_OPENING}, q AS (SELECT vec AS qvec FROM e WHERE vec_id = 0),
 found AS (SELECT {S}, max(100 * list_inner_product(vec, qvec)) AS sim, list(vec ORDER BY frame_idx) AS vs FROM frames, q GROUP BY ALL HAVING max(100 * list_inner_product(vec, qvec)) >= 5),
 named AS (SELECT *, contains(video_path, '_op.') AS oped, bool_or(contains(video_path, '_op.')) OVER (PARTITION BY source_index) AS any_oped FROM found),
@@ -243,10 +246,13 @@ def label_search_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("source_index", "video_path", "start_frame", "end_frame", F.round("similarity", 4).alias("similarity"), "members", F.array_join(F.transform("prompt_idx", lambda x: x.cast("string")), ",").alias("prompts"), "label")
 
 
-@query(f"""WITH {FRAMES} SELECT {S}, count(*) AS feature_count, (SELECT len(vec) FROM e LIMIT 1)::BIGINT AS dim FROM frames GROUP BY {S}""")
+@query(f"""WITH {FRAMES} SELECT {S}, count(*) AS feature_count, (SELECT len(vec) FROM e LIMIT 1)::BIGINT AS dim, TRUE AS close FROM frames GROUP BY {S}""")
 def scene_blob_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.decode(X.encode(scenes(spark, sf_dir)))
-    return rows.select(*KEY, F.size("features").cast("long").alias("feature_count"), F.size(F.col("features")[0]).cast("long").alias("dim"))
+    """Scenes as blobs and back; close: all values are within what 16 bits keep."""
+    whole = scenes(spark, sf_dir)
+    rows = X.decode(X.encode(whole)).join(whole.withColumnRenamed("features", "before"), KEY)
+    near = F.forall(F.arrays_zip(F.flatten("features").alias("x"), F.flatten("before").alias("y")), lambda p: F.abs(p["x"] - p["y"]) <= 5e-4)
+    return rows.select(*KEY, near.alias("close"), F.size("features").cast("long").alias("feature_count"), F.size(F.col("features")[0]).cast("long").alias("dim"))
 
 
 @query("""SELECT vec_id, CASE WHEN len([x FOR x IN embedding::DOUBLE[] IF x < -0.05]) / 64.0 >= 0.4 THEN 'black' WHEN len([x FOR x IN embedding::DOUBLE[] IF x > 0.05]) / 64.0 >= 0.4 THEN 'white' END AS dead FROM embeddings""")
