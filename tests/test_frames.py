@@ -192,3 +192,50 @@ def test_clip_vote_ties(spark):
     rows = spark.createDataFrame([("a", shots.PUSH, 1.0), ("a", shots.PULL, 1.0), ("b", shots.STATIC, 1.0), ("c", shots.PAN, 0.0)], "clip string, vote string, score double")
     got = {r.clip: (r.movement, r.confidence) for r in shots.clip_vote(rows).collect()}
     assert got == {"a": (shots.PUSH, 1.0), "b": (shots.STATIC, 1.0), "c": (shots.STATIC, 0.0)}
+
+
+def shortened(spans, vec, least):
+    """Plain replay of merging: pass after pass over [start, end] lists; vec: frame -> vector."""
+
+    def middle(a, b):
+        inside = sorted(f for f in vec if a <= f <= b)
+        return (vec[inside[0]] + vec[inside[-1]]) / 2 if len(inside) < 3 else vec[inside[len(inside) // 2]]
+
+    spans, again = [list(s) for s in sorted(spans)], True
+    while again:
+        again, i, out, mids = False, 0, [], [middle(*s) for s in spans]
+        before_taken = False
+        while i < len(spans):
+            a, b = spans[i]
+            left = float(mids[i] @ mids[i - 1]) if out and not before_taken else -1.0
+            right = float(mids[i] @ mids[i + 1]) if i + 1 < len(spans) else -1.0
+            step, before_taken = 1, False
+            if b - a >= least or max(left, right) <= -1:
+                out.append([a, b])
+            elif left > -1 and left >= right:
+                out[-1][1], before_taken, again = b, True, True
+            else:
+                out.append([a, spans[i + 1][1]])
+                step, before_taken, again = 2, True, True
+            i += step
+        spans = out
+    return [tuple(s) for s in spans]
+
+
+def test_short_scenes_against_plain_replay(spark):
+    """The queries short_scene_merge and index_build_flow over their whole table; the spans have SQL of their own."""
+    from reelspark.queries import tables, vectors
+
+    folder = "/root/testdata/sf0.001"
+    vec, spans, got = {}, {}, {}
+    for r in tables.samples(spark, folder).collect():
+        vec.setdefault(r.video_path, {})[r.frame_no] = np.array(r.vec, float)
+    for r in vectors.scene_spans(spark, folder).collect():
+        spans.setdefault(r.video_path, []).append((r.start_frame, r.end_frame))
+    for r in vectors.short_scene_merge(spark, folder).collect():
+        got.setdefault(r.video_path, []).append((r.start_frame, r.end_frame))
+    wanted = {v: shortened(s, vec[v], 12) for v, s in spans.items()}
+    assert {v: sorted(s) for v, s in got.items()} == wanted and wanted != {v: sorted(s) for v, s in spans.items()}
+    built = vectors.index_build_flow(spark, folder).collect()
+    assert sorted((r.video_path, r.start_frame, r.end_frame) for r in built) == sorted((v, *s) for v, x in wanted.items() for s in x)
+    assert {r.feature_count for r in built} == {3}
