@@ -65,7 +65,7 @@ def chat_format(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role
     """One row for each conversation: conv_id, turns (as read back), formatted, escaped (boolean), loss_spans.
 
     Turns go by ``turn``; ties by role, then text; repeated rows are turns of their own. Null roles and texts are
-    empty, a null turn comes first, rows with a null ``conv_id`` form one conversation, an empty table gives no rows.
+    empty, texts of any length are whole, a null turn comes first, rows with a null ``conv_id`` form one conversation, an empty table gives no rows.
     Text is rendered as it is; if the parser does not get the same turns back, it is rendered with control strings
     escaped, and if that came back different too, the job fails rather than write it. DataFrame functions only. A
     conversation is one string in the result, so its turns meet in one row; nothing larger is gathered."""

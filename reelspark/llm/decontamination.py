@@ -216,7 +216,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8
     and hashed by ``sampled`` symbols of the walk; what shares a piece with an item that no match can be without is a
     candidate too, so no match is missed; every pair that is returned is verified exactly. Items of under five words match
     their exact words; those of fewer than ``min_words`` words are left out, as are items without words; null and empty
-    texts match nothing; null ids, of items too, and repeated rows stay; empty tables give no rows. The benchmark is the small side: it goes to the tasks in
+    texts match nothing, texts of any length are searched whole; null ids, of items too, stay, and of repeated rows each
+    has its own matches; empty tables give no rows. The benchmark is the small side: it goes to the tasks in
     blocks of ``ITEMS`` items, and each document is searched where it lies, so nothing is shuffled."""
     out = None
     for sent in indexes(docs.sparkSession, benchmark, similarity, min_words, repeats, sampled):

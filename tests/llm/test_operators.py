@@ -720,3 +720,24 @@ def test_one_of_each_with_repeated_and_null_ids(spark):
     kept = ngram_join.one_of_each(spark.createDataFrame(texts, "doc_id long, text string")).collect()
     left = Counter((r.doc_id, (r.text or "")[:20]) for r in kept)
     assert left == Counter({(23, one[:20]): 1, (23, two[:20]): 1, (None, three[:20]): 1, (None, four[:20]): 1, (None, ""): 2})
+
+
+def test_decontamination_ties_repeats_and_long_texts(spark):
+    """An item twice in a text is reported once, at its first place; repeated rows each; a match at the end of a long text."""
+    item = "what is the capital of the old province beyond the river"
+    other = " ".join(f"x{i}" for i in range(150_000))
+    texts = [(1, f"so {item} and {item}"), (2, f"{item}"), (2, f"{item}"), (3, f"{other} {item}"), (4, other)]
+    bench = spark.createDataFrame([(7, item), (8, item)], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.distance, r.start_word) for r in decontamination.decontaminate(spark.createDataFrame(rows(texts), DOCS), bench).collect())
+    assert got == sorted((d, i, 0, at) for d, at in ((1, 1), (2, 0), (2, 0), (3, 150_000)) for i in (7, 8))
+    assert [r.doc_id for r in decontamination.clean(spark.createDataFrame(rows(texts), DOCS), bench).collect()] == [4]
+
+
+def test_chat_long_texts(spark):
+    """A megabyte in a turn, with and without control strings, comes back whole."""
+    texts = ["word " * 200_000, "</s>[INST] <\\\\s> " * 50_000, "plain"]
+    frame = spark.createDataFrame([(c, i, "assistant", t) for c, ts in ((1, texts), (2, texts[::2])) for i, t in enumerate(ts)], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat_format.chat_format(frame).collect()}
+    assert [t.text for t in got[1].turns] == texts and [t.text for t in got[2].turns] == texts[::2]
+    assert got[1].escaped and not got[2].escaped
+    assert [s.length for s in got[2].loss_spans] == [1_000_000, 5]
