@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -133,20 +135,34 @@ def clip_vote(votes: DataFrame, clip: str = "clip", p: Flow = Flow(), labels: Se
     return sums.select(clip, F.when(total <= 0, static).otherwise(movement).alias("movement"), F.when(total <= 0, 0.0).otherwise(confidence).alias("confidence"))
 
 
-def directions(votes: DataFrame, clip: str = "clip", dead: float = 0.1) -> DataFrame:
+def directions(votes: DataFrame, clip: str = "clip", dead: float = 0.1, order: Sequence[str] = ()) -> DataFrame:
     """Direction of pan, tilt and tracking of each clip from sums of scores and of movement times size; null inside the dead
-    band."""
-    s = votes.groupBy(clip).agg(
-        F.sum("pan_score").alias("pan"), F.sum("tilt_score").alias("tilt"),
-        F.sum(F.col("mean_dx") * F.greatest("mean_mag", F.lit(0.01))).alias("tx"), F.sum(F.col("mean_dy") * F.greatest("mean_mag", F.lit(0.01))).alias("ty"),
-    )
+    band. Where a sum is so near to a bound that rounding decides, it is taken row by row by ``order`` and then by value, so
+    the result does not depend on partitions."""
+    size = F.greatest("mean_mag", F.lit(0.01))
+    terms = {"pan": F.col("pan_score"), "tilt": F.col("tilt_score"), "tx": F.col("mean_dx") * size, "ty": F.col("mean_dy") * size}
+    places = [F.col(c).alias(f"place{i}") for i, c in enumerate(order)]
+    rows = votes.select(F.col(clip).alias("clip"), *places, *[v.alias(k) for k, v in terms.items()])
+    s = rows.groupBy("clip").agg(F.count("*").alias("n"), *[F.sum(k).alias(k) for k in terms], *[F.sum(F.abs(k)).alias(f"{k}_size") for k in terms])
+    # no two orders of summing n numbers differ by more than n 2**-52 times the sum of their sizes; taken twice
+    slack = {k: F.col("n") * F.col(f"{k}_size") * 2.0**-51 for k in terms}
+    edges = [F.abs(F.abs(k) - dead) <= slack[k] for k in terms]
+    edges.append((F.abs(F.abs("tx") - F.abs("ty")) <= slack["tx"] + slack["ty"]) & (F.abs("tx") + slack["tx"] >= dead))
+    # two numbers have one sum
+    near = (F.col("n") > 2) & reduce(or_, [F.coalesce(e, F.lit(False)) for e in edges])
+    # running sums, which Spark takes row by row and spills where a clip has very many
+    w = Window.partitionBy("clip").orderBy(*[f"place{i}" for i in range(len(order))], *terms)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    again = rows.join(s.where(near).select(F.col("clip").alias("near"), "n"), F.col("clip").eqNullSafe(F.col("near")))
+    again = again.select("clip", "n", F.row_number().over(w).alias("at"), *[F.sum(k).over(upto).alias(k) for k in terms]).where("at = n")
+    s = s.where(~near).select("clip", *terms).unionByName(again.select("clip", *terms))
 
     def sided(x: Column, plus: str, minus: str) -> Column:
         return F.when(F.abs(x) < dead, None).when(x > 0, plus).otherwise(minus)
 
     tx, ty = F.col("tx"), F.col("ty")
     tracking = F.when((F.abs(tx) > F.abs(ty)) & (F.abs(tx) >= dead), F.when(tx > 0, "left").otherwise("right")).when(F.abs(ty) >= dead, F.when(ty > 0, "up").otherwise("down"))
-    return s.select(clip, sided(F.col("pan"), "left", "right").alias("pan_direction"), sided(F.col("tilt"), "up", "down").alias("tilt_direction"), tracking.alias("track_direction"))
+    return s.select(F.col("clip").alias(clip), sided(F.col("pan"), "left", "right").alias("pan_direction"), sided(F.col("tilt"), "up", "down").alias("tilt_direction"), tracking.alias("track_direction"))
 
 
 def majority(rows: DataFrame, clip: str = "clip") -> DataFrame:

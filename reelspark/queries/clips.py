@@ -80,8 +80,8 @@ SELECT user_id, CASE WHEN abs(pan) < .1 THEN NULL WHEN pan > 0 THEN 'left' ELSE
   CASE WHEN abs(tx) > abs(ty) AND abs(tx) >= .1 THEN CASE WHEN tx > 0 THEN 'left' ELSE 'right' END WHEN abs(ty) >= .1 THEN CASE WHEN ty > 0 THEN 'up' ELSE 'down' END END AS track_direction FROM s""")
 def direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pan, tilt = (F.col("event_id") * 7919 % 101 - 50) / 500.0, (F.col("event_id") * 104729 % 97 - 48) / 500.0
-    rows = T.read(spark, sf_dir, "events").select("user_id", pan.alias("pan_score"), tilt.alias("tilt_score"), pan.alias("mean_dx"), tilt.alias("mean_dy"), (F.col("value") / 100).alias("mean_mag"))
-    return shots.directions(rows, "user_id")
+    rows = T.read(spark, sf_dir, "events").select("user_id", "event_id", pan.alias("pan_score"), tilt.alias("tilt_score"), pan.alias("mean_dx"), tilt.alias("mean_dy"), (F.col("value") / 100).alias("mean_mag"))
+    return shots.directions(rows, "user_id", order=("event_id",))
 
 
 @query("""WITH c AS (SELECT vec_id, unnest(range(25)) AS i, embedding::DOUBLE[] AS v FROM embeddings), d AS (SELECT vec_id, i % 5 AS x, i // 5 AS y, v[i + 1] AS dx, v[i + 33] AS dy FROM c),

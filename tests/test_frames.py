@@ -194,6 +194,41 @@ def test_clip_vote_ties(spark):
     assert got == {"a": (shots.PUSH, 1.0), "b": (shots.STATIC, 1.0), "c": (shots.STATIC, 0.0)}
 
 
+def test_directions_do_not_depend_on_row_order(spark, tmp_path):
+    """Sums at the bound: the query gives what its SQL gives row by row, however the table lies."""
+    import duckdb
+
+    from reelspark.queries import ORACLE_SQL, QUERIES
+
+    rng = random.Random(1)
+    # the pan scores of each user's seven events are 50 of 500 together
+    ids = {e * 7919 % 101 - 50: e for e in range(101)}
+    rows = []
+    for user in range(40):
+        scores = [rng.randint(-20, 30) for _ in range(6)]
+        while abs(50 - sum(scores)) > 50:
+            scores = [rng.randint(-20, 30) for _ in range(6)]
+        rows += [(ids[s] + 101 * rng.randint(0, 10**6), user, rng.randint(0, 500) / 100) for s in (*scores, 50 - sum(scores))]
+    rows.sort()
+    got = []
+    for name, lie, parts in (("up", rows, 1), ("down", rows[::-1], 1), ("mixed", rng.sample(rows, len(rows)), 3)):
+        spark.createDataFrame(lie, "event_id long, user_id long, value double").repartitionByRange(parts, F.rand(1) if parts > 1 else F.lit(0)).write.parquet(f"{tmp_path}/{name}/events.parquet")
+        got.append(sorted(map(tuple, QUERIES["direction"](spark, f"{tmp_path}/{name}").collect())))
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute(f"CREATE TABLE events AS SELECT * FROM '{tmp_path}/up/events.parquet/*.parquet' ORDER BY event_id")
+    wanted = sorted(con.execute(ORACLE_SQL["direction"]).fetchall())
+    assert got == [wanted] * 3
+    assert {r[1] for r in wanted} == {None, "left"}
+
+
+def test_directions_of_missing_values(spark):
+    schema = "clip string, pan_score double, tilt_score double, mean_dx double, mean_dy double, mean_mag double"
+    rows = [(None, 0.1, -0.1, 0.1, -0.1, 1.0), (None, None, None, None, None, None), ("a", 0.0, 5.0, 3.0, -3.0, 1.0), ("b", 0.05, 0.0, -1.0, 0.5, None)]
+    got = {r.clip: tuple(r)[1:] for r in shots.directions(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {None: ("left", "down", "down"), "a": (None, "up", "down"), "b": (None, None, None)}
+
+
 def shortened(spans, vec, least):
     """Plain replay of merging: pass after pass over [start, end] lists; vec: frame -> vector."""
 
