@@ -250,6 +250,18 @@ def test_suffix_dedup_random(spark):
     assert sorted(map(tuple, got)) == sorted(plain_dedup(texts, 50))
 
 
+def test_suffix_dedup_bound(spark):
+    """Passages of 57 words in two texts each: the contract takes out 400 bytes and leaves 399, a call for 250 takes both."""
+    rng = random.Random(12)
+    passage = lambda tail: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(57)) + tail
+    short, long = passage("."), passage("..")
+    texts = [(1, "before 1" + short + "1 after"), (2, "2" + short + "2"), (3, "before 3" + long + "3 after"), (4, "4" + long + "4")]
+    assert [len(p.encode()) for p in (short, long)] == [399, 400]
+    for length, removed in ((400, [0, 0, 400, 400]), (250, [399, 399, 400, 400])):
+        got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows(texts), DOCS), length).orderBy("doc_id").collect()
+        assert [r.n_removed for r in got] == removed and [r.n_bytes for r in got] == [len(t) for _, t in texts]
+
+
 def test_suffix_dedup_parts(spark, nothing):
     """Texts longer than a part are taken in overlapping parts."""
     text = "".join(random.Random(4).choice("abcdefgh") for _ in range(5000))
